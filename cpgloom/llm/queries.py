@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack_documents
 from .percentiles import combined_percentiles, track_percentiles, track_states
+from .tokens import encode_corpus
 from .topn import top_hotspots
 
 
@@ -25,10 +27,20 @@ def p3_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined_percentiles([track_states(_read(spark, sf_dir, "sample_track"))])
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(_read(spark, sf_dir, "documents"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_profile"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_percentiles": p3_percentiles,
     "p3_combined": p3_combined,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
 }
 
 P2_SQL = r"""
