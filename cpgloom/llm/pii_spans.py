@@ -1,0 +1,438 @@
+"""Candidate spans of personal data and the labelers that vote on them.
+
+Everything here works on one text with the standard library and ``regex``; see ``pii`` for the
+distributed part. A candidate is (kind, start, end, form, votes, features); votes are +1, -1 or 0, one
+per labeler of the kind, in the order of ``LABELERS``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import regex as re
+
+KINDS = ("email", "phone", "id_number", "address", "person")
+LABELERS = {
+    "email": ("form", "domain", "cue", "code"),
+    "phone": ("layout", "cue", "digits", "foreign_cue", "other_number"),
+    "id_number": ("form", "cue", "foreign_cue", "other_number", "field"),
+    "address": ("type", "cue", "name", "number", "tail"),
+    "person": ("cue", "after", "given", "family", "common", "shape"),
+}
+
+# Words and patterns of the languages that occur in such texts.
+ID_CUE = (
+    r"ssn|social[ _-]security(?:[ _]number| no\.?)?|soc\.? ?sec\.?|passport(?:[ _]no)?|reisepass(?:nummer)?|passeport|pasaporte|travel document"
+    r"|nir|num[ée]ro de s[ée]curit[ée] sociale|n[°º] de s[ée]curit[ée] sociale|s[ée]curit[ée] sociale|n[úu]mero de seguridad social"
+    r"|steuer-?(?:id|nummer|identifikationsnummer)|steuerliche id|tax(?:payer)?[ _-]?(?:id|identification|number|no\.?)|tin"
+    r"|national[ _-](?:id|identity)(?: card| number| no\.?)?|identity(?: card)?|id[ _-](?:card|number|no\.?)|personal(?:ausweis|nummer| id)(?:nummer)?|ausweis(?:nummer)?"
+    r"|dni|nie|nif|documento(?: nacional)? de identidad|nino|ni number|ni no\.?|national insurance"
+    r"|driver'?s? licen[cs]e|driving licen[cs]e|паспорт|инн|снилс|マイナンバー|個人番号|旅券番号|パスポート"
+)
+ID_TAIL = r"(?:\s?(?:number|nummer|no\.?|nr\.?|num\.?|n[°º]|card|#|id|номер))*[\"'`]?\s?(?:is|was|est|ist|es|lautet|[:=>#：\t])*\s?[\"'`]?\s?"
+PHONE_CUE = (
+    r"on-?call|tel|tél|telefon|teléfono|telephone|téléphone|phone|mobile|mobil|cell|fax|call(?: me)?(?: on| at)?|ring|whatsapp|hotline|handy|"
+    r"appelez(?:-moi)?(?: le| au)?|ruft mich an|anrufen|llámame|móvil|portable|телефон|тел|звоните|電話|携帯|contact|sms|text|dial|reach me"
+)
+NOT_PERSONAL = (
+    r"box|ticket|lot|slide(?: says)?|barcode(?: is)?|accession|epoch|hash|commit|job|node|build|release|version|doi|rows?|chr\w+|sha\d*|"
+    r"batch|serial(?: number| no\.?)?|s/n|order|part|file|issue|bug|pr|port|pid|device|sample|item|row|line|isbn|run|step|size|seed|rev"
+)
+STREET_TYPE = (
+    r"street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|boulevard|blvd|square|sq|terrace|ter|crescent|cres|close|way|row|place|pl|"
+    r"parkway|pkwy|highway|hwy|mews|gardens|grove|hill|walk|alley|circle|cir|trail|quay"
+)
+COMPASS = r"north|south|east|west|northeast|northwest|southeast|southwest|n|s|e|w|ne|nw|se|sw"
+FRENCH_TYPE = r"rue|avenue|av\.|boulevard|bd|impasse|place|chemin|allée|quai|route|cours|square|passage|ruelle|faubourg"
+SPANISH_TYPE = r"calle|c/|avenida|avda\.?|av\.|plaza|pl\.|paseo|pº|camino|carretera|ronda|travesía"
+GERMAN_TAIL = r"straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm|berg|chaussee|steig|pfad"
+ADDRESS_CUE = (
+    r"(?:ship_to|addr|street|address|adresse)[\"'>]?\s?[:=\t]?\s?[\"'`]?|live at|living at|lives at|pick-?up (?:is )?at|ship (?:\w+ ){0,3}to|deliver (?:\w+ ){0,3}to|send (?:\w+ ){0,3}to|address(?: is)?:?|courier went to|"
+    r"住所[:：]?|адрес:?|wohne?n? (?:in|an)?|proben bitte an|bitte an|anschrift:?|adresse:?|habite(?: au)?|au|chez|env[íi]en (?:\w+ ){0,2}a|vivo en|dirección:?|visit \w+ at|based at|office at|located at|domicile:?"
+)
+PARTICLE = r"van der|van den|von der|de la|de los|van|von|de|der|den|di|da|du|del|la|le|al|bin|ibn|ter|zu|af"
+TITLE = r"dr|prof|mr|mrs|ms|mx|mme|mlle|m|frau|herr|señora|señor|sra|sr|doctora|doctor|docteur|professor|professeur"
+PERSON_CUE = (
+    r"(?:dr|prof|mr|mrs|ms|mx|mme|mlle|sra|sr)\.|frau|herr|herrn|señora?|la doctora|el doctor|doctora?|professor|patient(?:in)?|"
+    r"thanks,|thank you,|regards,|wishes,|cheers,|best,|sincerely,|cc:|cc|from:|to:|by:|ask|author:|maintainer:|maintained by|contact:|owner:|name:|reviewed by|"
+    r"signed-off-by:|co-authored-by:|reported-by:|laut|según|d'après|d’après|selon|demandez à|demandez a|saludos,|viele grüße,|mit freundlichen grüßen,|"
+    r"cordialement,|script from|as|--|автор:|с уважением,|спросите,|спросите|担当[:：]|author\W{1,5}|owner\W{1,5}|name\W{1,5}|contact\W{1,5}|assignee\W{1,5}|maintainer\W{1,5}|user\W{1,5}"
+)
+PERSON_AFTER = (
+    r"signed|and i|from the|said|says|wrote|who|is in|had the|has the|lo vio|aus dem|знает|told|asked|reported|<|さん|です。よろしく|氏|様|hat|a dit|dijo|c'est|es normal|ist das"
+)
+#: Fixed: function words that are never part of a name or street, in the languages of the texts.
+FUNCTION_WORDS = frozenset(
+    """the a an and or but if then than that this these those of in on at to for from by with without as is are was were be been
+    it its he she we you i they them his her our your their not no yes all any some each every other another same more most less
+    very only also just even still again ever never before after while when where why how what which who whom whose there here
+    over under into onto about between through during above below up down out off near per via see use using used get got have has
+    had do does did done will would can could should may might must shall let run runs takes take took
+    le la les un une des du de et ou mais si que qui dans sur pour par avec sans est sont ce cette ces pas plus il elle nous vous
+    der die das ein eine und oder aber wenn dann als dass von zu mit ohne ist sind nicht kein auch nur noch bei aus nach vor
+    el los las y o pero si que en con sin para por es son no más del al se lo su
+    и или но если что в на с для по от до не как это
+    samples minutes rows lines files batches donors segments tracks copies times percent days hours seconds""".split()
+)
+
+_F = re.IGNORECASE
+_WORD = r"[^\W\d_]"
+_LAT = "A-Za-z0-9À-ɏ"
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
+EMAIL_PLAIN = re.compile(rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}[@＠]{_LABEL}(?:\.{_LABEL}){{1,6}}", _F)
+EMAIL_WORDS = re.compile(
+    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}(?:\s?[\(\[{{<](?:at|ät|arroba|a)[\)\]}}>]\s?| at )"
+    rf"{_LABEL}(?:(?:\s?[\(\[{{<](?:dot|punkt|point|punto)[\)\]}}>]\s?| dot |\.){_LABEL}){{1,6}}",
+    _F,
+)
+EMAIL_SPACED = re.compile(
+    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}} ?[@＠] ?{_LABEL}(?: ?\. ?{_LABEL}){{0,5}} ?\. ?[A-Za-z]{{2,10}}(?![A-Za-z0-9])", _F
+)
+_SEP = r"[     .\-‐-–/]"
+NUMBER_RUN = re.compile(rf"(?<![A-Za-z0-9_])(?:\+ ?\d|\(\+?\d|\d)(?:\d|{_SEP}(?=[\d(])|\((?=\d)|\)(?={_SEP}?\d)){{7,24}}(?<=\d)")
+S = r"[    .\-‐-–/]"
+PHONE_LAYOUT = re.compile(
+    rf"(?:(?:\+1|001|1){S}?)?(?:\(\d{{3}}\)|[2-9]\d{{2}}){S}?\d{{3}}{S}?\d{{4}}"
+    rf"|(?:\+|00)(?:[2-9]\d){S}?(?:\(0\))?{S}?\d{{1,5}}(?:{S}?\d{{2,8}}){{1,4}}"
+    rf"|\(0\d{{1,4}}\){S}?\d{{3,4}}{S}?\d{{2,4}}(?:{S}?\d{{2,4}})?"
+    rf"|0\d(?:{S}?\d{{2}}){{4}}|0\d{S}\d{{4}}{S}\d{{4}}|0\d{{2,4}}{S}\d{{2,8}}(?:{S}\d{{2,5}}){{0,3}}|0\d{{9,10}}"
+)
+STRONG_LAYOUT = re.compile(rf"\+.*|00\d.*|\(\d{{2,5}}\).*|\d{{3}}{S}\d{{3}}{S}\d{{4}}|1{S}\d{{3}}.*")
+_D = r"[\-‐-–. ]"
+ID_FORMS = (
+    ("nir", re.compile(r"(?<![\w.\-+])\d(?: ?\d{2}){3} ?\d{3} ?\d{3} ?\d{2}(?![\w\-])")),
+    ("ssn", re.compile(rf"(?<![\w.\-+])\d{{3}}{_D}?\d{{2}}{_D}?\d{{4}}(?![\w\-])")),
+    ("long", re.compile(r"(?<![\w.\-+])\d{3}-\d{4}-\d{5}(?![\w\-])")),
+    ("steuer", re.compile(r"(?<![\w.\-+])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w\-])")),
+    ("dni", re.compile(r"(?<![\w.\-+])\d{2}\.?\d{3}\.?\d{3}[- ]?[A-Za-z](?![\w\-])")),
+    ("nie", re.compile(r"(?<![\w.\-+])[XYZxyz][- ]?\d{7}[- ]?[A-Za-z](?![\w\-])")),
+    ("passport", re.compile(r"(?<![\w.\-+])[A-Za-z]{1,2} ?\d{6,8}(?![\w\-])")),
+    ("nino", re.compile(r"(?<![\w.\-+])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d](?![\w\-])")),
+)
+ID_LABELLED = re.compile(
+    rf"(?<![\p{{L}}\p{{N}}])(?:{ID_CUE}){ID_TAIL}([A-Za-z]{{0,3}}[ \-]?\d(?:[A-Za-z0-9]|[ .\-‐-–/](?=\d)){{4,20}}(?:[ \-]?[A-Za-z](?![\p{{L}}\p{{N}}]))?)", _F
+)
+BEFORE_ID = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{ID_CUE}){ID_TAIL}$", _F)
+BEFORE_PHONE = re.compile(rf"(?<![\p{{L}}])(?:{PHONE_CUE})\.?(?: is| ist| es|は|\(|[:：=.<>\s\"'])*$", _F)
+AFTER_PHONE = re.compile(r"^\)?\s?(?:\((?:office|mobile|home|cell|fax|work|vormittags|privat|bureau)|ext\b|です|did not pick|works too|after|text first)", _F)
+BEFORE_OTHER = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{NOT_PERSONAL})[ :=#]*(?:is |says |no\.? )?$|[A-Za-z]{{2,}}\d*[:/=]$|[#v_]$", _F)
+DATE_OR_IP = re.compile(r"(?:19|20)\d\d[\-/.]\d\d?[\-/.]\d\d?(?:[ T]\d.*)?|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,4}|\d+(?:\.\d+){2,}|\d+[-–]\d+|\d+\.\d+")
+FIELD = re.compile(r"[\"'<\[(]?(?:ssn|id|passport|dni|tax)[\w\-]*[\"'>\])]?\s*[:=>]\s*[\"'`]?$", _F)
+_NUM = r"\d{1,5}(?:(?: ?[-–] ?)\d{1,5})?(?: ?[A-Za-z](?![\p{L}\p{N}'’.]))?"
+_UP = r"[\p{L}][\p{L}'’\-]*"
+ADDRESS_EN = re.compile(
+    rf"(?<![\p{{L}}\p{{N}}.,\-/])({_NUM}) ((?:(?:{COMPASS})\.? )?)((?:St\. )?(?:{_UP} ){{1,3}}?)((?:{STREET_TYPE})\b\.?)((?: (?:{COMPASS})(?![\p{{L}}\p{{N}}])\.?)?)", _F
+)
+ADDRESS_FR = re.compile(
+    rf"(?<![\p{{L}}\p{{N}}.,\-/])(\d{{1,5}}(?:[-–]\d{{1,5}})?(?: ?(?:bis|ter|quater|[A-Za-z]))?),? (?:{FRENCH_TYPE}) ((?:(?:du|de la|de l['’]|des|de|d['’]) ?)?{_UP}(?: (?-i:\p{{Lu}}){_UP}){{0,2}}?)(?![\p{{L}}'’\-])", _F
+)
+ADDRESS_ES = re.compile(
+    rf"(?<![\p{{L}}\p{{N}}])(?:{SPANISH_TYPE})(?:(?<=[/.]) ?| )((?:(?:de la|de los|de las|del|de) )?{_UP}(?: (?!n\.?[º°])(?-i:\p{{Lu}}){_UP}){{0,2}}),? (?:n\.?[º°]\.? ?|num\.? |nº )?(\d{{1,5}}(?:[-–]\d{{1,5}})?(?: ?[A-Za-z](?![\p{{L}}\p{{N}}'’.]))?)(?![\p{{N}}])", _F
+)
+ADDRESS_DE = re.compile(
+    rf"(?<![\p{{L}}\p{{N}}])((?:(?:am|an der|im|auf dem|zum|zur) \p{{L}}+(?: \p{{L}}+)?)|(?:\p{{L}}[\p{{L}}\-]*(?:{GERMAN_TAIL}))|(?:\p{{L}}[\p{{L}}\-]* (?:str\.|straße|strasse|allee|weg|platz|ring|gasse))) (\d{{1,5}}(?:[-–]\d{{1,5}})?(?: ?[A-Za-z](?![\p{{L}}\p{{N}}'’.]))?)(?![\p{{N}}])", _F
+)
+BEFORE_ADDRESS = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{ADDRESS_CUE})\s?$|[(]$", _F)
+AFTER_ADDRESS = re.compile(r"^(?:[,.]? (?:unit|apt|suite|flat|floor|second|first|third|in \p{Lu}|\d{4,6} \p{L}|before noon|again|schicken|and can)|[.)]|$|[\r\n])", _F)
+LABEL_WITHOUT_POINT = re.compile(r"(?:address|住所|anschrift|adresse|dirección)\s?[:：]\s?$|(?:ship_to|addr|street)[\"'>]?\s?[:=\t]?\s?[\"'`]?$", _F)
+_TOKEN = rf"{_WORD}+(?:['’]{_WORD}+)*(?:-{_WORD}+(?:['’]{_WORD}+)*)*"
+_FAMILY = rf"(?:(?:{PARTICLE}) )?{_TOKEN}"
+_KANJI = r"[一-鿿々]"
+TOKENS = re.compile(rf"{_TOKEN}")
+INITIAL = re.compile(rf"{_WORD}\.", _F)
+PERSON_GIVEN_FIRST = re.compile(rf"({_TOKEN})((?: {_WORD}\.)?) ((?:(?:{PARTICLE}) )?)({_TOKEN})")
+AFTER_PERSON = re.compile(rf"^[,.]?\s?(?:{PERSON_AFTER})", _F)
+KANJI_NAME = re.compile(rf"(?<!{_KANJI})({_KANJI}{{1,4}})[ 　]({_KANJI}{{1,3}})(?!{_KANJI})|(?<!{_KANJI})({_KANJI}{{3,6}})(?=さん|氏|様|です。よろしく)|(?<=担当[:：]\s?)({_KANJI}{{3,6}})(?!{_KANJI})")
+
+
+@dataclass
+class Lexicon:
+    """What a pass over the corpus learned about words (all in casefold)."""
+
+    given: frozenset = frozenset()
+    family: frozenset = frozenset()
+    common: frozenset = frozenset()
+
+
+@dataclass
+class Span:
+    kind: str
+    start: int
+    end: int
+    form: str
+    votes: tuple
+    features: tuple = field(default=())
+
+
+def _last_word(s: str) -> str:
+    m = re.search(r"(\S+)\s*$", s)
+    return m.group(1).casefold()[-16:] if m else "^"
+
+
+def _next_word(s: str) -> str:
+    m = re.match(r"\s*(\S+)", s)
+    return m.group(1).casefold()[:16] if m else "$"
+
+
+def _trim_brackets(t: str, a: int, b: int) -> tuple[int, int]:
+    if t[a] == "(" and ")" not in t[a:b]:
+        a += 1
+    return a, b
+
+
+def _emails(t: str, out: list[Span]) -> None:
+    seen: list[tuple[int, int]] = []
+    low = t.casefold()
+    plans = []
+    if "@" in t or "＠" in t:
+        plans += [("plain", EMAIL_PLAIN), ("spaced", EMAIL_SPACED)]
+    if "at" in low or "ät" in low or "arroba" in low or "(a)" in low:
+        if " dot " in low or any(x in low for x in ("dot]", "dot)", "dot}", "dot>", "(at)", "[at]", "{at}", "<at>", "punkt", "punto", "point")):
+            plans.append(("words", EMAIL_WORDS))
+    for form, pat in plans:
+        for m in pat.finditer(t):
+            a, b = m.span()
+            s = t[a:b]
+            if form == "words" and " at " in s.casefold() and not re.search(r"dot|punkt|punto|point", s, _F):
+                continue
+            if any(x < b and a < y for x, y in seen):
+                continue
+            while s[-1] in ".-":
+                s, b = s[:-1], b - 1
+            seen.append((a, b))
+            tld = re.search(r"[A-Za-z0-9]+$", s)
+            tld = tld.group(0) if tld else ""
+            before, after = t[max(0, a - 40) : a], t[b : b + 12]
+            good = 1 if len(tld) >= 2 and tld.isalpha() else -1
+            cue = 1 if re.search(r"(?:mailto:|mail\w*|contact|kontakt|correo|courriel|e-?mail|メール|почта|cc|bounced|reach|write|schreib\w*|écriv\w*|escríbe\w*|to|under|with|an|by|from|owner|notify|user)\W{0,6}(?:me |mir |moi )?(?:at |an |à |a |is )?\W{0,3}$|<$", before, _F) else 0
+            code = -1 if re.search(r"[\])=]\s?$", before) and form == "spaced" and " @ " in s and s.count(".") < 2 else (-1 if "://" in before[-30:] and not re.search(r"\s", before[before.rfind("://") :]) else 0)
+            out.append(Span("email", a, b, form, (1 if form != "spaced" or " ." in s or s.count(".") > 1 else 0, good, cue, code), (f"tld={tld.casefold()}",)))
+
+
+def _numbers(t: str, out: list[Span]) -> None:
+    ids: dict[tuple[int, int], str] = {}
+    for form, pat in ID_FORMS:
+        for m in pat.finditer(t):
+            ids.setdefault(m.span(), form)
+    for m in ID_LABELLED.finditer(t):
+        a, b = m.span(1)
+        inside = [(x, y) for x, y in ids if x >= a and y <= b or (x == a)]
+        if not inside and sum(c.isdigit() for c in t[a:b]) >= 6:
+            ids[(a, b)] = "labelled"
+    for (a, b), form in ids.items():
+        before, after = t[max(0, a - 48) : a], t[b : b + 16]
+        cue = bool(BEFORE_ID.search(before))
+        phone = bool(BEFORE_PHONE.search(before) or AFTER_PHONE.search(after))
+        other = bool(BEFORE_OTHER.search(before)) and not cue
+        fld = bool(FIELD.search(before))
+        votes = (1 if form in ("nir", "long", "nino") and not other else 0, 1 if cue else -1, -1 if phone and not cue else 0, -1 if other else 0, 1 if fld or cue else 0)
+        out.append(Span("id_number", a, b, form, votes, (f"form={form}", f"cue={cue}", f"prev={_last_word(before)}")))
+    for m in NUMBER_RUN.finditer(t):
+        a, b = _trim_brackets(t, *m.span())
+        s = t[a:b]
+        if s.count("(") != s.count(")"):
+            continue
+        n = sum(c.isdigit() for c in s)
+        if not 9 <= n <= 14:
+            continue
+        before, after = t[max(0, a - 48) : a], t[b : b + 20]
+        cue = bool(BEFORE_PHONE.search(before) or AFTER_PHONE.search(after))
+        id_cue = bool(BEFORE_ID.search(before))
+        if id_cue and not cue:
+            continue  # an identity number by its label
+        other = bool(BEFORE_OTHER.search(before)) and not cue
+        odd = bool(DATE_OR_IP.fullmatch(s)) and not cue
+        layout = bool(PHONE_LAYOUT.fullmatch(s))
+        strong = layout and bool(STRONG_LAYOUT.fullmatch(s))
+        if re.match(r"[A-Za-z_]", after) and not re.match(r"\s", after):
+            odd = True
+        votes = (1 if strong else (0 if layout else -1), 1 if cue else (0 if strong else -1), 1 if 10 <= n <= 13 else 0, -1 if id_cue else 0, -1 if other or odd else 0)
+        out.append(Span("phone", a, b, "strong" if strong else "layout" if layout else "run", votes, (f"strong={strong}", f"n={n}", f"cue={cue}", f"prev={_last_word(before)}")))
+
+
+def _addresses(t: str, out: list[Span]) -> None:
+    for form, pat in (("en", ADDRESS_EN), ("fr", ADDRESS_FR), ("es", ADDRESS_ES), ("de", ADDRESS_DE)):
+        for m in pat.finditer(t, overlapped=(form == "en")):
+            a, b = m.span()
+            s = t[a:b]
+            before = t[max(0, a - 40) : a]
+            if form == "en":
+                words = [w.strip(".").casefold() for w in m.group(3).split()]
+                kind = m.group(4)
+                if not words or any(w in FUNCTION_WORDS or w in ("bis", "ter", "quater") for w in words):
+                    continue
+                if m.group(5) and m.group(5).strip(" .").casefold() in ("e", "w", "s", "n") and not m.group(5).strip(" .").isupper():
+                    b = m.end(4)
+                    s = t[a:b]
+                name = "".join(m.group(3).split())
+                styled = name[:1].isupper() or m.group(4)[:1].islower()
+                if s.endswith(".") and b == m.end(4):
+                    rest = t[b : b + 2]
+                    ends = not rest.strip() or (rest[:1].isspace() and (rest[1:2].isupper() or not rest[1:2].isalnum()))
+                    if rest[:1] in "\r\n" or ends:
+                        if not LABEL_WITHOUT_POINT.search(before):
+                            b -= 1
+                    if kind.strip(".").casefold() in ("street", "avenue", "road", "lane", "drive", "court", "boulevard", "square", "terrace", "crescent", "close", "way", "row", "place") and t[b - 1] == ".":
+                        b -= 1
+            elif form == "de":
+                words = [w.casefold() for w in m.group(1).split()]
+                styled = m.group(1)[:1].isupper()
+                if words[0] in FUNCTION_WORDS and words[0] not in ("am", "im", "an", "auf", "zum", "zur"):
+                    continue
+                if words[0] in ("am", "im", "an", "auf", "zum", "zur") and not re.search(rf"(?:{GERMAN_TAIL}|markt|bach|hof|feld|wald|see|park|tor|hang|graben)$", words[-1], _F):
+                    continue
+            else:
+                name = re.sub(r"^(?:de la|de los|de las|du|des|del|de|d['’]|de l['’]) ?", "", m.group(1), flags=_F)
+                styled = name[:1].isupper() or s.islower()
+                if form == "fr" and not styled:
+                    continue
+            cue = bool(BEFORE_ADDRESS.search(before))
+            tail = bool(AFTER_ADDRESS.search(t[b : b + 24]))
+            if re.match(r"[\p{L}\p{N}]", t[b : b + 1]):
+                continue
+            nwords = len(s.split())
+            votes = (1 if form != "en" or len(m.group(4)) > 2 else 0, 1 if cue else -1, 1 if styled else 0, 1 if nwords >= 2 else 0, 1 if tail else -1)
+            out.append(Span("address", a, b, form, votes, (f"form={form}", f"cue={cue}", f"tail={tail}", f"styled={styled}", f"prev={_last_word(before)}")))
+
+
+def _style(w: str) -> str:
+    core = re.sub(r"[^\p{L}]", "", w)
+    if core.isupper() and len(core) > 1:
+        return "U"
+    return "T" if core[:1].isupper() else "l"
+
+
+def _parts(token: str) -> list[str]:
+    return [p for p in re.split(r"[-]", token.casefold()) if p]
+
+
+def _in(token: str, words: frozenset) -> bool:
+    return token.casefold() in words or any(p in words for p in _parts(token))
+
+
+def _person_span(t: str, a: int, b: int, form: str, given: str, family: str, lex: Lexicon, out: list[Span], cues: set) -> None:
+    before, after = t[max(0, a - 32) : a], t[b : b + 16]
+    cue, follows = a in cues, bool(AFTER_PERSON.search(after))
+    in_given = given == "" or given.casefold() in lex.given
+    in_family = _in(family, lex.family)
+    common = _in(family, lex.common) and not in_family or (bool(given) and given.casefold() in lex.common and not in_given)
+    common = common or family.casefold() in FUNCTION_WORDS
+    known = (1 if given.casefold() in lex.given else -1) if given else 0
+    shape = 1 if _style(family) != "l" and (not given or _style(given) == _style(family) or len(given) == 1) else 0
+    votes = (1 if cue else 0, 1 if follows else 0, known, 1 if in_family else 0, -1 if common else 1, shape)
+    tail = family.casefold()
+    out.append(
+        Span("person", a, b, form, votes, (f"form={form}", f"g={given.casefold()}", f"e4={tail[-4:]}", f"s3={tail[:3]}", f"prev={_last_word(before)}", f"next={_next_word(after)}", f"style={_style(family)}"))
+    )
+
+
+_WORDS_OR_INITIALS = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{_TOKEN}|{_WORD}\.)")
+_CUES = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{PERSON_CUE})\s?[\"'`]?", _F)
+#: Fixed: words that come before a name with a comma or a space and are no part of it.
+GREETINGS = frozenset("thanks cheers grüße grüßen saludos wishes best regards cordialement greetings sincerely уважением merci gracias danke hi hello dear hallo bonjour hola laut según selon as ask patient patientin cc by from frau herr herrn doctora doctor professor prof dr mr mrs ms mx mme viele patiente".casefold().split())
+_PARTICLES = frozenset(PARTICLE.split("|"))
+
+
+def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
+    toks = [(m.start(), m.end(), m.group(0)) for m in _WORDS_OR_INITIALS.finditer(t)]
+    n = len(toks)
+    cues = {m.end() for m in _CUES.finditer(t)}
+
+    def gap(i: int) -> str:
+        return t[toks[i][1] : toks[i + 1][0]] if i + 1 < n else "\n"
+
+    def initial(i: int) -> bool:
+        return i < n and len(toks[i][2]) == 1 and t[toks[i][1] : toks[i][1] + 1] == "." and toks[i][2].isalpha()
+
+    def family_at(i: int) -> int:
+        """Index after a family name (with particles) that begins at token i, or 0."""
+        j = i
+        while j < n and toks[j][2].casefold() in _PARTICLES and gap(j) == " " and j - i < 2:
+            j += 1
+        if j < n and len(toks[j][2]) >= 2 and toks[j][2].casefold() not in FUNCTION_WORDS:
+            return j + 1
+        return 0
+
+    for i in range(n):
+        a, b, w = toks[i]
+        cf = w.casefold()
+        if cf in FUNCTION_WORDS or re.match(_KANJI + r"|[぀-ヿ]", w):
+            continue
+        style = _style(w)
+        # Given [I.] [particle] Family
+        known = cf in lex.given
+        if len(w) >= 2 and gap(i) == " " and (known or style != "l" or a in cues) and cf not in GREETINGS:
+            j = i + 1
+            if initial(j) and t[toks[j][1] : toks[j][1] + 2] == ". ":
+                j += 1
+            e = family_at(j)
+            if e and (e == j + 1 or gap(j) == " "):
+                fam = toks[e - 1][2]
+                if (known or style != "l" or a in cues) and (_style(fam) == style or known and (style, _style(fam)) != ("T", "l") or _in(fam, lex.family)):
+                    _person_span(t, a, toks[e - 1][1], "gf" if e == j + 1 else "gpf", w, fam, lex, out, cues)
+        # I. [I.] [particle] Family
+        if initial(i) and t[b : b + 2] == ". ":
+            j = i + 1
+            if initial(j) and t[toks[j][1] : toks[j][1] + 2] == ". ":
+                j += 1
+            e = family_at(j)
+            house = i and re.search(r"\d[A-Za-z]? $", t[max(0, a - 4) : a])
+            if e and not house and (i == 0 or not (toks[i - 1][2].casefold() in lex.given and t[toks[i - 1][1] : a] == " ")):
+                fam = toks[e - 1][2]
+                if _style(fam) != "l" or _in(fam, lex.family):
+                    _person_span(t, a, toks[e - 1][1], "if", "", fam, lex, out, cues)
+        # Family, Given and Family, I.
+        if gap(i) == ", " and len(w) >= 3 and i + 1 < n and cf not in GREETINGS and cf not in lex.given:
+            start = a
+            if i and toks[i - 1][2].casefold() in _PARTICLES and t[toks[i - 1][1] : a] == " " and _in(w, lex.family):
+                start = toks[i - 1][0]
+            g = toks[i + 1][2]
+            if initial(i + 1):
+                if style != "l" or _in(w, lex.family):
+                    end = toks[i + 1][1] + 1
+                    _person_span(t, start, end, "f,i", "", w, lex, out, cues)
+            elif g.casefold() in lex.given and (style == _style(g) or _in(w, lex.family)):
+                _person_span(t, start, toks[i + 1][1], "f,g", g, w, lex, out, cues)
+        # Family Given
+        if gap(i) == " " and i + 1 < n and toks[i + 1][2].casefold() in lex.given and _in(w, lex.family) and cf not in lex.given:
+            _person_span(t, a, toks[i + 1][1], "fg", toks[i + 1][2], w, lex, out, cues)
+    if re.search(_KANJI, t):
+        for m in KANJI_NAME.finditer(t):
+            whole = m.group(0)
+            core = m.group(1), m.group(2)
+            fam, giv = (core if core[0] else (whole[:-2], whole[-2:]))
+            _person_span(t, m.start(), m.end(), "kanji", giv, fam, lex, out, cues)
+
+
+def find_spans(t: str, lex: Lexicon) -> list[Span]:
+    """All candidates of a text, overlapping ones included."""
+    out: list[Span] = []
+    _emails(t, out)
+    if re.search(r"\d", t):
+        _numbers(t, out)
+        _addresses(t, out)
+    _persons(t, lex, out)
+    return out
+
+
+STRONG_PERSON = re.compile(
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme)\. |Frau |Herr |Patient |Thanks, |cc: |Author: |Maintainer: |[Cc]ontact: |Signed-off-by: |Laut |Según |D'après |Demandez à |Saludos, |Viele Grüße, |script from |La doctora |Ask |-- |Автор: |С уважением, |Спросите, )"
+    rf"({_TOKEN})(?: {_WORD}\.)? (?:(?:{PARTICLE}) )?({_TOKEN})"
+)
+STRONG_KANJI = re.compile(rf"(?<!{_KANJI})({_KANJI}{{1,4}})[ 　]({_KANJI}{{1,3}})(?=さん|氏|様|です。よろしく)|(?<=担当[:：]\s?)({_KANJI}{{1,4}})[ 　]({_KANJI}{{1,3}})(?!{_KANJI})")
+
+
+def name_evidence(t: str) -> tuple[set, set, set]:
+    """(given names, family names, all words) that a text gives evidence of, in casefold. Only title
+    case counts as evidence of a name."""
+    given, family = set(), set()
+    for m in STRONG_PERSON.finditer(t):
+        g, f = m.group(1), m.group(2)
+        if len(g) > 1 and _style(g) == "T" and _style(f) == "T":
+            given.add(g.casefold())
+            family.update([f.casefold(), *_parts(f)])
+    for m in STRONG_KANJI.finditer(t):
+        family.add(m.group(1) or m.group(3))
+        given.add(m.group(2) or m.group(4))
+    words = {m.group(0).casefold() for m in TOKENS.finditer(t)}
+    return given, family, words

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack_documents
 from .percentiles import combined_percentiles, track_percentiles, track_states
+from .pii import find_personal_data, redact_documents
 from .tokens import encode_corpus
 from .topn import top_hotspots
 
@@ -35,12 +36,22 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_profile"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_read(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_percentiles": p3_percentiles,
     "p3_combined": p3_combined,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 P2_SQL = r"""
