@@ -282,7 +282,7 @@ def _addresses(t: str, out: list[Span]) -> None:
                 if words[0] in ("am", "im", "an", "auf", "zum", "zur") and not re.search(rf"(?:{GERMAN_TAIL}|markt|bach|hof|feld|wald|see|park|tor|hang|graben)$", words[-1], _F):
                     continue
             else:
-                name = re.sub(r"^(?:de la|de los|de las|du|des|del|de|d['’]|de l['’]) ?", "", m.group(1), flags=_F)
+                name = re.sub(r"^(?:de la|de los|de las|du|des|del|de|d['’]|de l['’]) ?", "", m.group(2 if form == "fr" else 1), flags=_F)
                 styled = name[:1].isupper() or s.islower()
                 if form == "fr" and not styled:
                     continue
@@ -356,7 +356,7 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
     for i in range(n):
         a, b, w = toks[i]
         cf = w.casefold()
-        if cf in FUNCTION_WORDS or re.match(_KANJI + r"|[぀-ヿ]", w):
+        if cf in FUNCTION_WORDS and not initial(i) or re.match(_KANJI + r"|[぀-ヿ]", w):
             continue
         style = _style(w)
         # Given [I.] [particle] Family
@@ -402,6 +402,11 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
             core = m.group(1), m.group(2)
             fam, giv = (core if core[0] else (whole[:-2], whole[-2:]))
             _person_span(t, m.start(), m.end(), "kanji", giv, fam, lex, out, cues)
+        for m in re.finditer(_KANJI + "{2,7}", t):
+            run = m.group(0)
+            for k in range(1, len(run)):
+                if run[:k] in lex.family and run[k:] in lex.given:
+                    _person_span(t, m.start(), m.end(), "kanji", run[k:], run[:k], lex, out, cues)
 
 
 def find_spans(t: str, lex: Lexicon) -> list[Span]:
