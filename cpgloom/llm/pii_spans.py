@@ -282,7 +282,7 @@ def _addresses(t: str, out: list[Span]) -> None:
                 if words[0] in ("am", "im", "an", "auf", "zum", "zur") and not re.search(rf"(?:{GERMAN_TAIL}|markt|bach|hof|feld|wald|see|park|tor|hang|graben)$", words[-1], _F):
                     continue
             else:
-                name = re.sub(r"^(?:de la|de los|de las|du|des|del|de|d['’]|de l['’]) ?", "", m.group(2 if form == "fr" else 1), flags=_F)
+                name = re.sub(r"^(?:(?:de la|de los|de las|du|des|del|de) |(?:de l|d)['’] ?)", "", m.group(2 if form == "fr" else 1), flags=_F)
                 styled = name[:1].isupper() or s.islower()
                 if form == "fr" and not styled:
                     continue
