@@ -1,0 +1,136 @@
+"""Value codec, track keys and the scalar helpers used by the operators."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+VALUE_MAX = 10000
+COVERAGE_MAX = 65534
+
+
+@dataclass(frozen=True, order=True)
+class TrackKey:
+    assay: str
+    haplotype: str
+    strand: str
+
+    def __str__(self) -> str:
+        return "__".join((self.assay, self.haplotype, self.strand))
+
+    @classmethod
+    def parse(cls, text: str) -> TrackKey:
+        parts = text.split("__", 2)
+        if len(parts) != 3 or not all(parts):
+            raise ValueError(f"not a track key: {text!r}")
+        return cls(*parts)
+
+
+def view_name(assay: Column, haplotype: Column, strand: Column) -> Column:
+    return F.concat_ws("__", assay, haplotype, strand)
+
+
+def encode_percent(percent: Column) -> Column:
+    """Percent to hundredths, in single precision, half to even; null outside 0..100 and for NaN."""
+    p = percent.cast("float")
+    return F.when((p >= 0) & (p <= 100), F.rint(p * F.lit(100).cast("float")).cast("int"))
+
+
+def encode_fraction(x: Column) -> Column:
+    """Fraction to ten-thousandths; tolerates 1e-6 beyond 0..1, null further out."""
+    inside = (x >= -1e-6) & (x <= 1 + 1e-6)
+    return F.when(inside, F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * VALUE_MAX).cast("int"))
+
+
+def reencode_percent(percent: Column) -> Column:
+    """The path of callers that report percent without coverage: to a single-precision fraction,
+    clipped, and back to hundredths."""
+    f = (percent.cast("double") / 100).cast("float")
+    f = F.least(F.greatest(f, F.lit(0).cast("float")), F.lit(1).cast("float"))
+    return F.rint((f * F.lit(100).cast("float")).cast("float") * F.lit(100).cast("float")).cast("int")
+
+
+def decode_fraction(v: Column) -> Column:
+    return v / F.lit(float(VALUE_MAX))
+
+
+def decode_percent(v: Column) -> Column:
+    return v / F.lit(100.0)
+
+
+def is_finite(c: Column) -> Column:
+    x = c.cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+def rounded_mean(total: Column, n: Column) -> Column:
+    """Mean of integer numerators, half to even, clipped to the value range; null for no cells."""
+    mean = total.cast("double") / F.nullif(n, F.lit(0)).cast("double")
+    return F.rint(F.least(F.greatest(mean, F.lit(0.0)), F.lit(float(VALUE_MAX)))).cast("int")
+
+
+def shift_minus(position: Column, strand: Column, clamp: bool) -> Column:
+    """Minus-strand calls sit one base to the right of their CpG. ``clamp`` keeps a call at 0 there;
+    otherwise it has no place."""
+    moved = position - 1
+    moved = F.greatest(moved, F.lit(0)) if clamp else F.when(moved >= 0, moved)
+    return F.when(strand == "-", moved).otherwise(position)
+
+
+def broad_tissue(name: Column, prefixes: dict[str, str], other: str = "Other") -> Column:
+    """Group of a tissue name by its prefix; blank names have none."""
+    n = F.lower(F.trim(name))
+    out = F.lit(other)
+    for prefix, group in reversed(prefixes.items()):
+        out = F.when(n.startswith(prefix), group).otherwise(out)
+    return F.when(n != "", out)
+
+
+_SUFFIXES = re.compile(r"(\.(bed|bedmethyl|tsv|txt|smdb|segments|gz|combined|hap1|hap2|hp1|hp2))+$", re.IGNORECASE)
+
+
+def sample_id_from_path(path: str) -> str:
+    return _SUFFIXES.sub("", path.rstrip("/").rsplit("/", 1)[-1])
+
+
+def safe_file_part(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^A-Za-z0-9_.-]+", "_")
+
+
+@dataclass(frozen=True)
+class Region:
+    """Half-open region; ``end`` None is a single position."""
+
+    chrom: str
+    start: int
+    end: int
+
+
+def parse_inclusive_region(text: str, commas: bool = False) -> Region:
+    """``chrom:lo-hi``, 0-based with both ends in (lookups; plots also allow thousands commas)."""
+    digits = r"[\d,]+" if commas else r"\d+"
+    m = re.fullmatch(rf"([^\s:]+):({digits})-({digits})", text.strip() if commas else text)
+    if not m:
+        raise ValueError(f"not a region: {text!r}")
+    lo, hi = (int(x.replace(",", "")) for x in m.groups()[1:])
+    if hi < lo:
+        raise ValueError("the end of a region lies before its start")
+    return Region(m.group(1), lo, hi + 1)
+
+
+def parse_locus(text: str) -> Region:
+    m = re.fullmatch(r"([^\s:]+):(\d+)", text)
+    if not m:
+        raise ValueError(f"not a position: {text!r}")
+    return Region(m.group(1), int(m.group(2)), int(m.group(2)) + 1)
+
+
+def parse_half_open_region(text: str) -> Region:
+    """``chrom:start-end``, 0-based half-open, digits only (exports)."""
+    m = re.fullmatch(r"([^\s:]+):([0-9]+)-([0-9]+)", text)
+    if not m or int(m.group(2)) >= int(m.group(3)):
+        raise ValueError(f"not a half-open region: {text!r}")
+    return Region(m.group(1), int(m.group(2)), int(m.group(3)))
