@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matrix import each_sample
+
 MAX = 10000.0
 ALL_MISSING, BELOW, REMAINING, CONSTANT, WRITTEN = "all_missing", "below_presence", "remaining_missing", "constant", "written"
 
@@ -36,8 +38,8 @@ def receipt(labels: DataFrame) -> DataFrame:
 
 def dense_rows(labels: DataFrame, view: DataFrame, samples: DataFrame) -> DataFrame:
     """Every cell of the written rows; a missing one holds the mean of its row, and is marked."""
-    keep = labels.where(F.col("label") == WRITTEN).select("row_id", "row_mean", F.lit(1).alias("one"))
-    cells = keep.join(samples.select("sample_id", F.lit(1).alias("one")), "one").join(view.select("row_id", "sample_id", "value"), ["row_id", "sample_id"], "left")
+    keep = labels.where(F.col("label") == WRITTEN).select("row_id", "row_mean")
+    cells = each_sample(keep, samples).join(view.select("row_id", "sample_id", "value"), ["row_id", "sample_id"], "left")
     return cells.select(
         "row_id", "sample_id", (F.coalesce(F.col("value").cast("double"), F.col("row_mean")) / MAX).alias("fraction"), F.col("value").isNull().cast("int").alias("imputed")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import is_finite
 from .intervals import periods_and_gaps
+from .matrix import each_sample
 from .ranges import overlap_join
 
 
@@ -39,11 +40,10 @@ def project_metric(segments: DataFrame, regions: DataFrame, metric: str) -> Data
 
 
 def project_presence(segments: DataFrame, regions: DataFrame, samples: DataFrame) -> DataFrame:
-    """1 or 0 for every region and sample: does any segment of the sample overlap it? The product of
-    regions and samples is the result itself."""
+    """1 or 0 for every region and sample: does any segment of the sample overlap it?"""
     j = overlap_join(segments.select("sample_id", "chrom", "start", "end"), regions.select("region_id", "chrom", "start", "end"))
     hit = j.select(F.col("r_region_id").alias("region_id"), F.col("l_sample_id").alias("sample_id")).distinct().withColumn("hit", F.lit(1))
-    every = regions.select("region_id", "chrom").withColumn("one", F.lit(1)).join(samples.withColumn("one", F.lit(1)), "one")
+    every = each_sample(regions.select("region_id"), samples)
     return every.join(hit, ["region_id", "sample_id"], "left").select("region_id", "sample_id", F.coalesce("hit", F.lit(0)).cast("int").alias("value"))
 
 
