@@ -45,3 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Tasks per core that work in Python should have at least.
+TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give work that is heavy per byte at least a few tasks per core. A table that is scanned by as many
+    tasks anyway (any large one) is left where it lies; only a compact one, whose few splits would
+    keep most cores idle, is dealt out round robin, so no key can pile up."""
+    want = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -19,6 +19,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 QUOTING, COLUMN_COUNT, INVALID_VALUE, UNKNOWN_KIND = "quoting", "column_count", "invalid_value", "unknown_kind"
 
 INT = r"^-?[0-9]+$"
@@ -184,22 +186,28 @@ def parse_block(lines: list[str], fmt: LineFormat) -> tuple[list[str | None], di
             values[c][i] = row.get(c)
 
     todo = [(0, n)] if n else []
+    accepted: list[tuple[range, pa.Table]] = []
     while todo:
         lo, hi = todo.pop()
         t = _bulk(lines[lo:hi], fmt)
-        if t is None:
-            if hi - lo == 1:
-                strict(lo)
-            else:
-                mid = (lo + hi) // 2
-                todo += [(lo, mid), (mid, hi)]
-            continue
-        ok, cols = _check(t, fmt)
+        if t is not None:
+            accepted.append((range(lo, hi), t))
+        elif hi - lo == 1:
+            strict(lo)
+        else:
+            mid = (lo + hi) // 2
+            todo += [(lo, mid), (mid, hi)]
+    if accepted:  # what the reader took is checked at once, column by column
+        accepted.sort(key=lambda x: x[0].start)
+        ok, cols = _check(pa.concat_tables([t for _, t in accepted]).combine_chunks(), fmt)
+        at = [i for r, _ in accepted for i in r]
         for c, a in cols.items():
-            values[c][lo:hi] = a.to_pylist()
-        for i, good in enumerate(ok.to_pylist()):
+            dest = values[c]
+            for i, v in zip(at, a.to_pylist()):
+                dest[i] = v
+        for i, good in zip(at, ok.to_pylist()):
             if not good:
-                strict(lo + i)
+                strict(i)
     return reasons, values
 
 
@@ -249,8 +257,8 @@ def parse_lines(
 
     Lines that start with ``#`` are no data and give no row. A null line counts as an empty one
     (``column_count``); a null or unknown kind gives ``unknown_kind``. Repeated lines give repeated
-    rows. ``keep`` must not name a typed column or ``reason``. No shuffle: each partition is parsed
-    where it lies, in blocks of ``block`` lines.
+    rows. ``keep`` must not name a typed column or ``reason``. Large inputs are parsed
+    where they lie, in blocks of ``block`` lines.
     """
     clash = {"reason", *[c for c, _ in TYPED]} & set(keep)
     if clash:
@@ -261,7 +269,7 @@ def parse_lines(
     )
     ddl = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep]
     ddl += ["reason string", *[f"`{c}` {names[str(t)]}" for c, t in TYPED]]
-    return src.mapInArrow(_parser(list(keep), block), ", ".join(ddl))
+    return spread(src).mapInArrow(_parser(list(keep), block), ", ".join(ddl))
 
 
 def failed_lines(df: DataFrame) -> DataFrame:
