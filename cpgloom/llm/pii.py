@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .pii_spans import KINDS, LABELERS, Lexicon, Span, find_spans, name_evidence
 
 #: Candidates per kind that the classifier is trained on: those with the smallest hash.
@@ -66,7 +66,7 @@ def learn_lexicon(documents: DataFrame, text: str = "text") -> Lexicon:
                 names=["word", "docs", "given", "family"],
             )
 
-    rows = documents.select(F.col(f"`{text}`")).mapInArrow(count, "word string, docs long, given long, family long")
+    rows = spread(documents.select(F.col(f"`{text}`"))).mapInArrow(count, "word string, docs long, given long, family long")
     totals = cut_lineage(
         rows.groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("given").alias("given"), F.sum("family").alias("family"))
     )
@@ -194,7 +194,7 @@ def _candidates(documents: DataFrame, lexicon: Lexicon, key: str, text: str) ->
             kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "form", "votes", "features", "h"])
 
-    return documents.select(F.col(f"`{text}`")).mapInArrow(run, "kind string, form string, votes string, features array<string>, h long")
+    return spread(documents.select(F.col(f"`{text}`"))).mapInArrow(run, "kind string, form string, votes string, features array<string>, h long")
 
 
 def _unpack(votes: str) -> tuple:
@@ -242,7 +242,7 @@ def find_personal_data(documents: DataFrame, model: PiiModel | None = None, key:
                 names=[key, "kind", "surface"],
             )
 
-    src = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    src = spread(documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
     return src.mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, kind string, surface string")
 
 
@@ -262,5 +262,5 @@ def redact_documents(documents: DataFrame, model: PiiModel | None = None, key: s
                 names=[key, text, "n_replaced"],
             )
 
-    src = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    src = spread(documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
     return src.mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, `{text}` string, n_replaced long")

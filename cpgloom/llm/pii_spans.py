@@ -296,10 +296,10 @@ def _addresses(t: str, out: list[Span]) -> None:
 
 
 def _style(w: str) -> str:
-    core = re.sub(r"[^\p{L}]", "", w)
-    if core.isupper() and len(core) > 1:
+    """U, T or l for upper, title and lower case; apostrophes and hyphens do not matter."""
+    if w.isupper() and len(w) > 1:
         return "U"
-    return "T" if core[:1].isupper() else "l"
+    return "T" if w[:1].isupper() else "l"
 
 
 def _parts(token: str) -> list[str]:
@@ -330,6 +330,7 @@ _WORDS_OR_INITIALS = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{_TOKEN}|{_WORD}\.)")
 _CUES = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{PERSON_CUE})\s?[\"'`]?", _F)
 #: Fixed: words that come before a name with a comma or a space and are no part of it.
 GREETINGS = frozenset("thanks cheers grüße grüßen saludos wishes best regards cordialement greetings sincerely уважением merci gracias danke hi hello dear hallo bonjour hola laut según selon as ask patient patientin cc by from frau herr herrn doctora doctor professor prof dr mr mrs ms mx mme viele patiente".casefold().split())
+_KANA_OR_KANJI = re.compile(_KANJI + r"|[぀-ヿ]")
 _PARTICLES = frozenset(PARTICLE.split("|"))
 
 
@@ -353,14 +354,18 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
             return j + 1
         return 0
 
+    lowered = [w if w.isascii() and w.islower() else w.casefold() for _, _, w in toks]
+    given = lex.given
     for i in range(n):
         a, b, w = toks[i]
-        cf = w.casefold()
-        if cf in FUNCTION_WORDS and not initial(i) or re.match(_KANJI + r"|[぀-ヿ]", w):
+        cf = lowered[i]
+        known = cf in given
+        if not known and not w[0].isupper() and a not in cues and t[b : b + 1] != "," and not (len(w) == 1 and t[b : b + 1] == ".") and (i + 1 == n or lowered[i + 1] not in given):
+            continue  # an ordinary lower-case word
+        if cf in FUNCTION_WORDS and not initial(i) or _KANA_OR_KANJI.match(w):
             continue
         style = _style(w)
         # Given [I.] [particle] Family
-        known = cf in lex.given
         if len(w) >= 2 and gap(i) == " " and (known or style != "l" or a in cues) and cf not in GREETINGS:
             j = i + 1
             if initial(j) and t[toks[j][1] : toks[j][1] + 2] == ". ":

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 DEFAULT_TOKENIZER = os.environ.get("CPGLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 #: Fixed: the pattern that the byte-level tokenizers use to cut text into words.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,7 +173,7 @@ def encode_corpus(
     text are ordinary text.
 
     A null text and an empty text have an empty list (0 tokens). Texts of any length are encoded whole.
-    Repeated rows give repeated rows, null keys stay null, other columns are ignored. No shuffle.
+    Repeated rows give repeated rows, null keys stay null, other columns are ignored. Large inputs are not shuffled.
     """
     shared = _Shared(df, tokenizer)
 
@@ -193,5 +195,5 @@ def encode_corpus(
 
     name = "n_tokens" if counts_only else "ids"
     kind = df.schema[key].dataType.simpleString()
-    src = df.select(F.col(f"`{key}`").alias("k__"), F.col(f"`{text}`").alias("t__"))
+    src = spread(df.select(F.col(f"`{key}`").alias("k__"), F.col(f"`{text}`").alias("t__")))
     return src.mapInArrow(run, f"`{key}` {kind}, {name} {'bigint' if counts_only else 'array<int>'}")
