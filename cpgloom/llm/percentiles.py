@@ -174,6 +174,8 @@ def multi_select(
         items = cut_lineage(split.select("g", "r", "value", "n", "slice"))
         counted = items.groupBy("g", "r").agg(F.count(F.lit(1)).alias("m"))
         ranges = cut_lineage(counted.join(sides.select("g", "r", "ks"), ["g", "r"]))
+    if not found:  # an empty state
+        found = [items.select("g", F.col("r").alias("p"), "value")]
     every = reduce(lambda a, b: a.unionByName(b), found)
     wide = every.groupBy("g").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p:02d}") for p in percents])
     return overall.join(wide, "g").select(

@@ -212,7 +212,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", training_
         counted[r["kind"]].append((_unpack(r["votes"]), r["count"]))
     patterns: dict = {}
     for kind, rows in counted.items():
-        q = aggregate_votes(np.array([v for v, _ in rows]).reshape(len(rows), -1), np.array([c for _, c in rows]))
+        q = aggregate_votes(np.array([v for v, _ in rows]).reshape(len(rows), len(LABELERS[kind])), np.array([c for _, c in rows]))
         patterns |= {(kind, v): float(p) for (v, _), p in zip(rows, q)}
     training = []
     for kind in KINDS:

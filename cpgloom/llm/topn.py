@@ -14,8 +14,8 @@ _LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 def allow_group_limit(spark, n: int) -> None:
     """Raise Spark's own threshold where a limit of ``n`` rows would lose the group-limit operator."""
-    if n > int(spark.conf.get(_LIMIT_CONF, "1000")):
-        spark.conf.set(_LIMIT_CONF, str(n))
+    if n >= int(spark.conf.get(_LIMIT_CONF, "1000")):
+        spark.conf.set(_LIMIT_CONF, str(n + 1))
 
 
 def last_version(df: DataFrame, key: str, loaded: str) -> DataFrame:
