@@ -26,7 +26,7 @@ ID_CUE = (
     r"|nir|num[ée]ro de s[ée]curit[ée] sociale|n[°º] de s[ée]curit[ée] sociale|s[ée]curit[ée] sociale|n[úu]mero de seguridad social"
     r"|steuer-?(?:id|nummer|identifikationsnummer)|steuerliche id|tax(?:payer)?[ _-]?(?:id|identification|number|no\.?)|tin"
     r"|national[ _-](?:id|identity)(?: card| number| no\.?)?|identity(?: card)?|id[ _-](?:card|number|no\.?)|personal(?:ausweis|nummer| id)(?:nummer)?|ausweis(?:nummer)?"
-    r"|dni|nie|nif|documento(?: nacional)? de identidad|nino|ni number|ni no\.?|national insurance"
+    r"|dni|nie|nif|documento(?: nacional)? de identidad|nino|ni number|ni no\.?|ni|national insurance"
     r"|driver'?s? licen[cs]e|driving licen[cs]e|паспорт|инн|снилс|マイナンバー|個人番号|旅券番号|パスポート"
 )
 ID_TAIL = r"(?:\s?(?:number|nummer|no\.?|nr\.?|num\.?|n[°º]|card|#|id|номер))*[\"'`]?\s?(?:is|was|est|ist|es|lautet|[:=>#：\t])*\s?[\"'`]?\s?"
@@ -104,7 +104,7 @@ ID_FORMS = (
     ("ssn", re.compile(rf"(?<![\w.\-+])\d{{3}}{_D}?\d{{2}}{_D}?\d{{4}}(?![\w\-])")),
     ("long", re.compile(r"(?<![\w.\-+])\d{3}-\d{4}-\d{5}(?![\w\-])")),
     ("steuer", re.compile(r"(?<![\w.\-+])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w\-])")),
-    ("dni", re.compile(r"(?<![\w.\-+])\d{2}\.?\d{3}\.?\d{3}[- ]?[A-Za-z](?![\w\-])")),
+    ("dni", re.compile(r"(?<![\w.\-+])\d{2}\.?\d{3}\.?\d{3}(?:[- ]?[A-Z]|-?[a-z])(?![\w\-])")),
     ("nie", re.compile(r"(?<![\w.\-+])[XYZxyz][- ]?\d{7}[- ]?[A-Za-z](?![\w\-])")),
     ("passport", re.compile(r"(?<![\w.\-+])[A-Za-z]{1,2} ?\d{6,8}(?![\w\-])")),
     ("nino", re.compile(r"(?<![\w.\-+])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d](?![\w\-])")),
@@ -384,16 +384,16 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
             house = i and re.search(r"\d[A-Za-z]? $", t[max(0, a - 4) : a])
             if e and not house and (i == 0 or not (toks[i - 1][2].casefold() in lex.given and t[toks[i - 1][1] : a] == " ")):
                 fam = toks[e - 1][2]
-                if _style(fam) != "l" or _in(fam, lex.family):
+                if _style(fam) != "l" or _in(fam, lex.family) or a in cues:
                     _person_span(t, a, toks[e - 1][1], "if", "", fam, lex, out, cues)
         # Family, Given and Family, I.
         if gap(i) == ", " and len(w) >= 3 and i + 1 < n and cf not in GREETINGS and cf not in lex.given:
             start = a
-            if i and toks[i - 1][2].casefold() in _PARTICLES and t[toks[i - 1][1] : a] == " " and _in(w, lex.family):
+            if i and toks[i - 1][2].casefold() in _PARTICLES and t[toks[i - 1][1] : a] == " " and (_in(w, lex.family) or toks[i - 1][0] in cues):
                 start = toks[i - 1][0]
             g = toks[i + 1][2]
             if initial(i + 1):
-                if style != "l" or _in(w, lex.family):
+                if style != "l" or _in(w, lex.family) or start in cues:
                     end = toks[i + 1][1] + 1
                     _person_span(t, start, end, "f,i", "", w, lex, out, cues)
             elif g.casefold() in lex.given and (style == _style(g) or _in(w, lex.family)):
