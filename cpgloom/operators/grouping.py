@@ -27,18 +27,20 @@ def groups_of_runs(rows: DataFrame, method: str, min_rows: int = 1) -> DataFrame
         F.count(F.lit(1)).alias("n_rows"),
     )
     g = g.where(F.col("n_rows") >= min_rows)
-    # a rank over chromosomes: offsets per chromosome, then ranks within it
-    per = g.groupBy("chrom_ord").agg(F.count(F.lit(1)).alias("k"))
+    return number_groups(g, method).select("group_row", "group_id", "chrom", "start", "end", "source_row_start", "source_row_end", "n_rows")
+
+
+def number_groups(groups: DataFrame, method: str) -> DataFrame:
+    """Add ``group_row`` from 0 and ``group_id`` from 1 in index order (``chrom_ord, source_row_start,
+    start``): ranks within a chromosome plus the counts of the chromosomes before it, so no task sees
+    all groups."""
+    per = groups.groupBy("chrom_ord").agg(F.count(F.lit(1)).alias("k"))
     off = per.withColumn("off", F.coalesce(F.sum("k").over(Window.orderBy("chrom_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("chrom_ord").orderBy("source_row_start"))
-    return (
-        g.withColumn("rank", rank)
-        .join(F.broadcast(off.select("chrom_ord", "off")), "chrom_ord")  # one row per chromosome
-        .select(
-            (F.col("off") + F.col("rank") - 1).alias("group_row"), F.concat(F.lit(f"{method}_"), (F.col("off") + F.col("rank")).cast("string")).alias("group_id"),
-            "chrom", "start", "end", "source_row_start", "source_row_end", "n_rows",
-        )
-    )
+    rank = F.row_number().over(Window.partitionBy("chrom_ord").orderBy("source_row_start", "start", "end"))
+    at = F.col("off") + F.col("rank")
+    return groups.withColumn("rank", rank).join(F.broadcast(off.select("chrom_ord", "off")), "chrom_ord").withColumns(  # one row per chromosome
+        {"group_row": (at - 1).cast("long"), "group_id": F.concat(F.lit(f"{method}_"), at.cast("string"))}
+    ).drop("off", "rank")
 
 
 def distance_groups(index: DataFrame, gap: int = 10, min_rows: int = 1, method: str = "decode") -> DataFrame:

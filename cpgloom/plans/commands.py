@@ -93,11 +93,8 @@ def group(spark, cohort: str, index: str, output: str, method: str = "denovo", i
         g = grouping.distance_groups(idx, 10, min_rows)
     else:
         got = grouping.predefined_groups(idx, intervals, 1 if method == "loyfer" and not left_shift else left_shift, min_rows)
-        from pyspark.sql import Window
-
         per = got.join(idx.select(F.col("row_id").alias("source_row_start"), "chrom_ord"), "source_row_start")
-        rank = F.row_number().over(Window.orderBy("chrom_ord", "source_row_start", "region_id"))  # definitions, not observations
-        g = per.withColumn("group_row", (rank - 1).cast("long")).withColumn("group_id", F.concat(F.lit(f"{method}_"), rank.cast("string")))
+        g = grouping.number_groups(per, method)
     g = g.persist()
     n_source, summary = idx.count(), grouping.reduction_summary(g, idx.count()).first().asDict()
     if not summary["n_groups"]:
