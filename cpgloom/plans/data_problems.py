@@ -46,7 +46,7 @@ WITH c AS (
   SELECT sample_id, chrom_start AS a, chrom_end AS b, lower(regexp_replace(name, '^\s+|\s+$', '', 'g')) AS name,
          regexp_replace(regexp_replace(lower(regexp_replace(chrom, '^\s+|\s+$', '', 'g')), '^chr', ''), '^\s+', '') AS ch
   FROM asm_segment WHERE chrom_end > chrom_start AND trim(sample_id) <> ''),
-d AS (SELECT sample_id, 'chr' || CASE WHEN length(ch) = 1 THEN upper(ch) ELSE ch END AS chrom, name, a, b
+d AS (SELECT DISTINCT sample_id, 'chr' || CASE WHEN length(ch) = 1 THEN upper(ch) ELSE ch END AS chrom, name, a, b
       FROM c WHERE ch <> '' AND name <> ''),
 m AS (SELECT *, max(b) OVER (PARTITION BY sample_id, chrom, name ORDER BY a, b
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),

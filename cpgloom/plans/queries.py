@@ -314,7 +314,7 @@ def group_bin_mean(s, d):
 
 
 def _uni(gap: int) -> str:
-    return f"""{SEG}, mx AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg WHERE name = 'different'),
+    return f"""{SEG}, mx AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT chrom, s, e FROM seg WHERE name = 'different')),
 fl AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM mx),
 uni AS (SELECT row_number() OVER (ORDER BY chrom, min(s)) AS region_id, chrom, min(s) AS "start", max(e) AS "end" FROM fl GROUP BY chrom, grp)"""
 
