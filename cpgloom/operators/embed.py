@@ -1,7 +1,8 @@
-"""PCA by the Gram matrix, and Mahalanobis outliers.
+"""PCA by the Gram matrix or by block Lanczos passes, and Mahalanobis outliers.
 
-The distributed part is the sum of products of each row's standardised cells: samples by samples, some
-thousands at most. Everything after it is linear algebra of that size on the driver.
+The distributed part is the sum of products of each row's standardised cells: samples by samples for a
+small roster, samples by a narrow block in each pass for any other. Everything after it is linear
+algebra of that size on the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The Gram matrix and its vectors are held by the driver and by each task.
 MAX_SAMPLES = 5000
+#: Up to this many samples the Gram matrix is made at once; beyond it, passes over the cells are cheaper.
+GRAM_SAMPLES = 512
+#: Vectors (samples long) that the driver holds between restarts, and passes after which it gives up.
+MAX_BASIS, MAX_PASSES = 240, 400
 
 
 def gram_matrix(cells: DataFrame, samples: list[str]) -> np.ndarray:
@@ -60,12 +66,99 @@ def pca_from_gram(gram: np.ndarray, n_components: int) -> tuple[np.ndarray, np.n
     loading positive; the number of components is at most the matrix's size."""
     n = min(n_components, len(gram))
     values, vectors = np.linalg.eigh(gram)
-    values, vectors = np.maximum(values[::-1][:n], 0), vectors[:, ::-1][:, :n]
+    return _coordinates(values[::-1][:n], vectors[:, ::-1][:, :n], np.trace(gram))
+
+
+def _coordinates(values: np.ndarray, vectors: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    n = len(values)
+    values = np.maximum(values, 0)
     flip = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(n)]) if n else np.ones(0)
-    total = np.trace(gram)
     return vectors * np.where(flip == 0, 1, flip) * np.sqrt(values), values / total if total else np.zeros(n)
 
 
+def _times_gram(rows: DataFrame, v: np.ndarray) -> np.ndarray:
+    """``Z'Z v`` by one pass over sparse rows ``i, z``; each task sends one block of the size of ``v``."""
+    k, b = v.shape
+    sent = rows.sparkSession.sparkContext.broadcast(v)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, y = sent.value, np.zeros((k, b))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, z = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+            size = batch.column(0).value_lengths().to_numpy()
+            t = np.add.reduceat(v[i] * z[:, None], np.cumsum(size) - size)
+            t = np.repeat(t, size, axis=0) * z[:, None]
+            for c in range(b):
+                y[:, c] += np.bincount(i, t[:, c], k)
+        yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary())], ["y"])
+
+    y = np.zeros((k, b))
+    for r in rows.mapInArrow(partial, "y binary").toLocalIterator():  # one block at a time
+        y += np.frombuffer(bytes(r["y"])).reshape(k, b)
+    sent.destroy()
+    return y
+
+
+def top_eigenpairs(times, k: int, n: int, tol: float = 1e-8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest eigenvalues and vectors of a symmetric matrix of size k that is only known by
+    ``times(block)``: block Lanczos with full orthogonalisation and thick restarts. Ends when each pair's
+    residual is at most ``tol`` of the smallest of the n values; never with an unfinished result."""
+    b = n + 5
+
+    def orthonormal(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = q.T @ x
+        x = x - q @ c
+        d = q.T @ x
+        w, r = np.linalg.qr(x - q @ d)
+        w, s = np.linalg.qr(w - q @ (q.T @ w))
+        return w, s @ r, c + d
+
+    new, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, b)))
+    basis, h = np.zeros((k, 0)), np.zeros((0, 0))
+    for _ in range(MAX_PASSES):
+        m = basis.shape[1]
+        basis = np.hstack([basis, new])
+        new, r, c = orthonormal(times(new), basis)
+        h = np.block([[h, c[:m]], [c[:m].T, (c[m:] + c[m:].T) / 2]])
+        values, s = np.linalg.eigh(h)
+        values, s = values[::-1], s[:, ::-1]
+        left = np.linalg.norm(r @ s[-b:, :n], axis=0)
+        if (left <= tol * max(values[n - 1], values[0] * 1e-9)).all():
+            return values[:n], basis @ s[:, :n]
+        if basis.shape[1] + b > MAX_BASIS:
+            keep = min(3 * b, basis.shape[1])
+            basis, h = basis @ s[:, :keep], np.diag(values[:keep])
+    raise RuntimeError(f"{MAX_PASSES} passes did not give {n} components; residuals {left}")
+
+
+def pca(cells: DataFrame, samples: list[str], n_components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of every sample and explained-variance ratios from ``row_id, sample_id, z`` with
+    missing cells 0. A small roster goes through its Gram matrix; any other is read once into sparse rows
+    and gets its leading components by passes over them, so neither the driver nor a task ever holds more
+    than the roster times ``MAX_BASIS``. Without a single cell nothing is defined, and all is NaN."""
+    k = len(samples)
+    if k <= GRAM_SAMPLES:
+        gram = gram_matrix(cells, samples)
+        if not np.trace(gram):
+            return np.full((k, min(n_components, k)), np.nan), np.full(min(n_components, k), np.nan)
+        return pca_from_gram(gram, n_components)
+    spark = cells.sparkSession
+    order = spark.createDataFrame(pd.DataFrame({"sample_id": samples, "i": np.arange(k, dtype=np.int32)}), "sample_id string, i int")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = cells.join(order, "sample_id").repartition(tasks, "row_id").groupBy("row_id").agg(F.collect_list(F.struct("i", "z")).alias("c"))
+    rows = rows.select(F.col("c.i").alias("i"), F.col("c.z").alias("z")).persist()
+    try:
+        total = rows.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+        if not total:
+            return np.full((k, n_components), np.nan), np.full(n_components, np.nan)
+        values, vectors = top_eigenpairs(lambda v: _times_gram(rows, v), k, n_components)
+    finally:
+        rows.unpersist()
+    return _coordinates(values, vectors, total)
+
+
 def _gamma_p(a: float, x: float) -> float:
     """Regularised lower incomplete gamma function by its series or continued fraction."""
     if x <= 0:

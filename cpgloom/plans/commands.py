@@ -167,8 +167,7 @@ def pca(spark, cohort: str, index: str, outdir: str, key: TrackKey = DEFAULT_VIE
     kept = matrix.presence_rows(view.join(rows, "row_id", "left_semi"), len(names), min_present)
     kept = matrix.sample_rows(kept, fraction, seed) if fraction < 1 else kept
     kept = kept.select("row_id").persist()
-    g = embed.gram_matrix(embed.standardised(view, kept, matrix.moments(view, kept)), names)
-    x, ratio = embed.pca_from_gram(g, n_pcs)
+    x, ratio = embed.pca(embed.standardised(view, kept, matrix.moments(view, kept)), names, n_pcs)
     dist, out = embed.mahalanobis(x[:, :outlier_pcs], alpha)
     os.makedirs(outdir, exist_ok=True)
     with open(os.path.join(outdir, "embedding.tsv"), "w") as f:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -555,25 +556,53 @@ def gram_matrix(s, d):
     return s.createDataFrame(rows, "i int, j int, g double")
 
 
-def _embedded(s, d):
-    """PCA of the samples of the 5mC view with most cells (a bounded roster, see embed.MAX_SAMPLES)."""
+def _roster(s, d) -> DataFrame:
+    """Every sample of the 5mC view, also those without a usable cell."""
+    t = matrix.select_view(A.read(s, d, "sample_track"), *V5)
+    return t.where("sample_id IS NOT NULL").select("sample_id").distinct()
+
+
+def _embedded(s, d, min_present):
+    """PCA of the whole roster of the 5mC view; the names and coordinates of one view reach the driver."""
+    names = _roster(s, d).orderBy("sample_id").toPandas()["sample_id"].tolist()
     v = _view(s, d)
-    names = [r["sample_id"] for r in _selected(v).orderBy("sample_id").collect()]
-    v = v.where(F.col("sample_id").isin(names))
-    rows = matrix.presence_rows(v, len(names), 0.15)
-    g = embed.gram_matrix(embed.standardised(v, rows, matrix.moments(v, rows)), names)
-    return names, *embed.pca_from_gram(g, 5)
+    rows = matrix.presence_rows(v, len(names), min_present)
+    return names, *embed.pca(embed.standardised(v, rows, matrix.moments(v, rows)), names, 5)
+
+
+def _number(x: float) -> float | None:
+    return float(x) if np.isfinite(x) else None
+
+
+def _coordinate_rows(s, names, x, ratio):
+    rows = [(n, k + 1, _number(x[i, k]), _number(ratio[k])) for i, n in enumerate(names) for k in range(x.shape[1])]
+    return s.createDataFrame(pd.DataFrame(rows, columns=["sample_id", "component", "coordinate", "explained"]).astype({"component": "int32"}), "sample_id string, component int, coordinate double, explained double")
+
+
+def _outlier_rows(s, names, x):
+    dist, out = embed.mahalanobis(x[:, :3], 0.999)
+    return s.createDataFrame([(n, _number(v), bool(o)) for n, v, o in zip(names, dist, out)], "sample_id string, distance double, is_outlier boolean")
 
 
 @query()
 def pca_coordinates(s, d):
-    names, x, ratio = _embedded(s, d)
-    rows = [(n, k + 1, float(x[i, k]), float(ratio[k])) for i, n in enumerate(names) for k in range(x.shape[1])]
-    return s.createDataFrame(rows, "sample_id string, component int, coordinate double, explained double")
+    """Whole roster, rows observed in 15 % of it; null coordinates where no row is."""
+    return _coordinate_rows(s, *_embedded(s, d, 0.15))
 
 
 @query()
 def mahalanobis_outliers(s, d):
-    names, x, _ = _embedded(s, d)
-    dist, out = embed.mahalanobis(x[:, :3], 0.999)
-    return s.createDataFrame([(n, float(v), bool(o)) for n, v, o in zip(names, dist, out)], "sample_id string, distance double, is_outlier boolean")
+    names, x, _ = _embedded(s, d, 0.15)
+    return _outlier_rows(s, names, x)
+
+
+@query()
+def pca_roster(s, d):
+    """Whole roster over every observed row."""
+    return _coordinate_rows(s, *_embedded(s, d, 0.0))
+
+
+@query()
+def mahalanobis_roster(s, d):
+    names, x, _ = _embedded(s, d, 0.0)
+    return _outlier_rows(s, names, x)

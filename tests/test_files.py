@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cpgloom import cli
 from cpgloom.functions.codec import TrackKey, encode_percent, parse_half_open_region, parse_inclusive_region, parse_locus
 from cpgloom.operators import embed, export, grouping, matrix, metadata, ranges, segments
-from cpgloom.plans import commands
+from cpgloom.plans import commands, queries
 from cpgloom.sources import arrays, beds, fasta, store
 
 C = TrackKey("5mC", "combined", "combined")
@@ -292,6 +292,28 @@ def test_pca_matches_svd(spark):
     assert np.allclose(np.abs(x), np.abs(want), atol=1e-8) and np.allclose(ratio, (s**2 / (s**2).sum())[:4])
 
 
+def test_pca_by_passes_matches_svd(spark, monkeypatch):
+    monkeypatch.setattr(embed, "GRAM_SAMPLES", 10)
+    monkeypatch.setattr(embed, "MAX_BASIS", 40)  # restarts
+    r = np.random.default_rng(2)
+    z = r.normal(size=(200, 80)) * (r.random((200, 80)) < 0.2)
+    names = [f"s{i:02d}" for i in range(80)]
+    cells = spark.createDataFrame([(int(i), names[k], float(z[i, k])) for i, k in zip(*np.nonzero(z))], "row_id long, sample_id string, z double")
+    x, ratio = embed.pca(cells, names, 4)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(np.abs(x), np.abs(vt.T[:, :4] * s[:4]), atol=1e-6) and np.allclose(ratio, (s**2 / (s**2).sum())[:4])
+    x, ratio = embed.pca(cells.where("false"), names, 4)
+    assert x.shape == (80, 4) and np.isnan(x).all() and np.isnan(ratio).all()
+
+
+def test_embedding_queries_hold_the_whole_roster(spark):
+    sf = "/root/testdata/sf0.001"
+    roster = {r[0] for r in spark.read.parquet(f"{sf}/sample_track.parquet").where("assay = '5mC' AND haplotype = 'combined' AND strand = 'combined' AND sample_id IS NOT NULL").select("sample_id").distinct().collect()}
+    assert len(roster) > 12
+    for name in ("pca_coordinates", "mahalanobis_outliers", "pca_roster", "mahalanobis_roster"):
+        assert {r["sample_id"] for r in queries.QUERIES[name](spark, sf).select("sample_id").collect()} == roster
+
+
 def test_chi_square_and_outliers():
     assert abs(embed.chi_square_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(embed.chi_square_quantile(0.999, 10) - 29.588298) < 1e-5
     x = np.random.default_rng(0).normal(size=(200, 2))
