@@ -484,6 +484,37 @@ def export_mean_impute(s, d):
     return cells.withColumn("fraction", F.round("fraction", 9))
 
 
+#: The same over every sample of the view, also those without a usable cell.
+ROS = f"""{OBS}, vw AS (SELECT row_id, sample_id, value FROM obs WHERE {C5}), sel AS (SELECT DISTINCT sample_id FROM sample_track WHERE {C5} AND sample_id IS NOT NULL),
+st AS (SELECT row_id, count(*) AS n, min(value) AS lo, max(value) AS hi, sum(value) AS s FROM vw GROUP BY 1),
+labd AS (SELECT i.row_id, coalesce(n, 0) AS n_observed, s::DOUBLE / n AS row_mean, CASE WHEN n IS NULL THEN 'all_missing' WHEN n / (SELECT count(*) FROM sel)::DOUBLE < 0.15 THEN 'below_presence'
+  WHEN lo = hi THEN 'constant' ELSE 'written' END AS label FROM cpg_index i LEFT JOIN st USING (row_id))"""
+
+
+def _roster(s, d) -> DataFrame:
+    """Every sample of the 5mC view, also those without a usable cell."""
+    t = matrix.select_view(A.read(s, d, "sample_track"), *V5)
+    return t.where("sample_id IS NOT NULL").select("sample_id").distinct()
+
+
+@query(f"WITH {ROS} SELECT row_id, n_observed, round(row_mean, 9) AS row_mean, label FROM labd")
+def export_roster_labels(s, d):
+    return export.label_rows(A.index(s, d), _view(s, d), _roster(s, d), 0.15, "mean").withColumn("row_mean", F.round("row_mean", 9))
+
+
+@query(f"WITH {ROS} SELECT label, count(*) AS n_rows FROM labd GROUP BY 1")
+def export_roster_receipt(s, d):
+    return export.receipt(export.label_rows(A.index(s, d), _view(s, d), _roster(s, d), 0.15, "mean"))
+
+
+@query(f"""WITH {ROS} SELECT l.row_id, sel.sample_id, round(coalesce(vw.value::DOUBLE, row_mean) / 10000, 9) AS fraction, (vw.value IS NULL)::INT AS imputed
+FROM labd l CROSS JOIN sel LEFT JOIN vw ON vw.row_id = l.row_id AND vw.sample_id = sel.sample_id WHERE label = 'written'""")
+def export_roster_impute(s, d):
+    v, ros = _view(s, d), _roster(s, d)
+    cells = export.dense_rows(export.label_rows(A.index(s, d), v, ros, 0.15, "mean"), v, ros)
+    return cells.withColumn("fraction", F.round("fraction", 9))
+
+
 @query(f"WITH {DEC} SELECT * FROM grp WHERE chrom = 'chr2' AND \"start\" < 900000 AND \"end\" > 100000")
 def export_region(s, d):
     g = grouping.distance_groups(A.index(s, d), gap=200, min_rows=2)
@@ -556,12 +587,6 @@ def gram_matrix(s, d):
     return s.createDataFrame(rows, "i int, j int, g double")
 
 
-def _roster(s, d) -> DataFrame:
-    """Every sample of the 5mC view, also those without a usable cell."""
-    t = matrix.select_view(A.read(s, d, "sample_track"), *V5)
-    return t.where("sample_id IS NOT NULL").select("sample_id").distinct()
-
-
 def _embedded(s, d, min_present):
     """PCA of the whole roster of the 5mC view; the names and coordinates of one view reach the driver."""
     names = _roster(s, d).orderBy("sample_id").toPandas()["sample_id"].tolist()

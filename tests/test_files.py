@@ -314,6 +314,15 @@ def test_embedding_queries_hold_the_whole_roster(spark):
         assert {r["sample_id"] for r in queries.QUERIES[name](spark, sf).select("sample_id").collect()} == roster
 
 
+def test_export_queries_hold_the_whole_roster(spark):
+    sf = "/root/testdata/sf0.001"
+    n = queries._roster(spark, sf).count()
+    cells = queries.QUERIES["export_roster_impute"](spark, sf)
+    assert n > 12 and {r["count"] for r in cells.groupBy("row_id").count().collect()} == {n}
+    labels = queries.QUERIES["export_roster_labels"](spark, sf)
+    assert labels.agg(F.sum("n_observed")).first()[0] == queries._view(spark, sf).count()
+
+
 def test_chi_square_and_outliers():
     assert abs(embed.chi_square_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(embed.chi_square_quantile(0.999, 10) - 29.588298) < 1e-5
     x = np.random.default_rng(0).normal(size=(200, 2))
