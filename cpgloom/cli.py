@@ -112,6 +112,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--gap", type=int, default=1000)
     p.add_argument("--min-cpgs", type=int, default=1)
     p.add_argument("--top-n", type=int, default=500)
+    p.add_argument("--metadata")
+    p.add_argument("--group-by")
     p = add("atlas", "matrix", "row-index", "samples", "output")
     p.add_argument("--cohorts", nargs="*", default=[])
     p.add_argument("--assay", default="modifiedC")
@@ -181,7 +183,10 @@ def run(argv: list[str] | None = None, spark=None):
             os.makedirs(a.output, exist_ok=True)
             _write(c.profile(spark, a.cohort, a.index, a.region, sel, a.samples, a.combine, a.window, a.min_points, os.path.join(a.output, "profile.html")), a.output, "profile")
         case "strand":
-            for name, df in c.strand_bias(spark, a.cohort, a.index, a.assay, a.haplotype, a.fraction, a.min_total, a.gap, a.min_cpgs, a.top_n).items():
+            if bool(a.metadata) != bool(a.group_by):
+                raise ValueError("--metadata and --group-by go together")
+            category = beds.read_metadata(spark, a.metadata).selectExpr("sample_id", f"trim(`{a.group_by}`) AS category").where("category <> ''").distinct() if a.metadata else None
+            for name, df in c.strand_bias(spark, a.cohort, a.index, a.assay, a.haplotype, a.fraction, a.min_total, a.gap, a.min_cpgs, a.top_n, category).items():
                 _write(df, a.output, name)
         case "atlas":
             c.atlas(spark, a.matrix, a.row_index, a.samples, _expand(a.cohorts) if a.cohorts else [], a.output, a.assay)

@@ -263,7 +263,8 @@ def strand_bias(spark, cohort: str, index: str, assay: str = "5hmC", haplotype:
                 top_n: int = 500, category: DataFrame | None = None) -> dict[str, DataFrame]:
     obs = spark.read.parquet(os.path.join(cohort, "obs")).where((F.col("assay") == assay) & (F.col("haplotype") == haplotype)).drop("chrom")
     plus = {c["sample_id"] for c in store.view_columns(cohort, TrackKey(assay, haplotype, "plus"))}
-    n = len(plus & {c["sample_id"] for c in store.view_columns(cohort, TrackKey(assay, haplotype, "minus"))})
+    both = plus & {c["sample_id"] for c in store.view_columns(cohort, TrackKey(assay, haplotype, "minus"))}
+    n = len(both)
     if not n:
         raise ValueError("no sample has both strands")
     pairs, idx = strand.paired(obs), load_index(spark, index)
@@ -271,9 +272,13 @@ def strand_bias(spark, cohort: str, index: str, assay: str = "5hmC", haplotype:
     limit = strand.candidate_limit(top_n, min_cpgs)
     best = strand.best_rows(strand.strand_scores(pairs, need, min_total), limit)
     clusters = strand.ranked_clusters(strand.hotspot_clusters(best, idx, gap, min_cpgs), top_n)
-    out = {"samples": strand.sample_metrics(pairs), "candidates": best, "clusters": clusters}
+    roster = spark.createDataFrame([(x,) for x in sorted(both)], "sample_id string")
+    out = {"samples": strand.sample_metrics(pairs), "candidates": best, "clusters": clusters, "sample_profiles": strand.sample_profiles(obs, clusters, roster)}
     if category is not None:
+        category = category.join(roster, "sample_id", "left_semi")
         out["categories"] = strand.category_scores(pairs, category, fraction, min_total)
+        leading = strand.best_category_rows(out["categories"], limit)
+        out["category_clusters"] = strand.ranked_clusters(strand.hotspot_clusters(leading, idx, gap, min_cpgs, ("category",)), top_n, ("category",))
         out["summary"] = strand.category_summary(out["samples"], category)
         out["profiles"] = strand.hotspot_profiles(pairs, clusters, category)
     return out

@@ -447,6 +447,36 @@ def hotspot_profiles(s, d):
     return _r9(strand.hotspot_profiles(_pairs(s, d), top, _category(s, d)), "mean_plus", "mean_minus", "median_diff")
 
 
+CCLU = f"""{PAIR}, {CAT}, z AS (SELECT pm.*, category FROM pm JOIN cat USING (sample_id)), need AS (SELECT category, greatest(1, ceil(count(*) * 0.02)) AS need FROM cat GROUP BY 1),
+csco AS (SELECT q.* FROM ({_score_sql('z', 'category, row_id')}) q JOIN need USING (category) WHERE n_paired >= need AND mean_total >= 0.005),
+best AS (SELECT * FROM csco QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, abs_mean_diff DESC, row_id) <= 1000), placed AS (SELECT b.*, i.chrom, i.pos0 FROM best b JOIN cpg_index i USING (row_id)),
+ru AS (SELECT *, sum(br) OVER (PARTITION BY category, chrom ORDER BY pos0, row_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN pos0 - lag(pos0) OVER w <= 1000 AND direction = lag(direction) OVER w THEN 0 ELSE 1 END AS br
+  FROM placed WINDOW w AS (PARTITION BY category, chrom ORDER BY pos0, row_id))),
+clu AS (SELECT category, chrom, run, direction, min(pos0)::BIGINT AS cluster_start, max(pos0)::BIGINT + 1 AS cluster_end, count(*) AS n_cpgs, max(score) AS max_score, max(abs_mean_diff) AS max_abs_mean_diff,
+  arg_min(row_id, (-score, pos0, row_id)) AS representative_row_id FROM ru GROUP BY ALL)"""
+
+
+@query(f"""WITH {CCLU} SELECT category, chrom, direction, cluster_start, cluster_end, n_cpgs, max_score, max_abs_mean_diff, representative_row_id,
+row_number() OVER (PARTITION BY category ORDER BY max_score DESC, max_abs_mean_diff DESC, n_cpgs DESC, chrom, cluster_start) AS rank FROM clu QUALIFY rank <= 50""")
+def category_clusters(s, d):
+    best = strand.best_category_rows(category_scores(s, d), strand.candidate_limit(50, 1))
+    return strand.ranked_clusters(strand.hotspot_clusters(best, A.index(s, d), 1000, by=("category",)), 50, ("category",)).drop("run")
+
+
+SP = "assay = '5mC' AND haplotype = 'combined'"
+
+
+@query(f"""WITH {CLU}, top AS (SELECT representative_row_id AS row_id, row_number() OVER (ORDER BY max_score DESC, max_abs_mean_diff DESC, n_cpgs DESC, chrom, cluster_start) AS rank FROM clu QUALIFY rank <= 50),
+ros AS (SELECT sample_id FROM sample_track WHERE {SP} AND strand = 'plus' AND sample_id IS NOT NULL INTERSECT SELECT sample_id FROM sample_track WHERE {SP} AND strand = 'minus'),
+c AS (SELECT row_id, sample_id, max(CASE WHEN strand = 'plus' THEN value END) AS p, max(CASE WHEN strand = 'minus' THEN value END) AS m FROM obs WHERE {SP} AND strand IN ('plus', 'minus') GROUP BY ALL)
+SELECT row_id, rank, sample_id, p / 10000.0::DOUBLE AS plus_value, m / 10000.0::DOUBLE AS minus_value, (p - m) / 10000.0::DOUBLE AS diff_value, (p IS NOT NULL AND m IS NOT NULL) AS is_paired
+FROM top CROSS JOIN ros LEFT JOIN c USING (row_id, sample_id)""")
+def hotspot_sample_profiles(s, d):
+    t = A.read(s, d, "sample_track").where(SP).where("sample_id IS NOT NULL")
+    both = t.where("strand = 'plus'").select("sample_id").intersect(t.where("strand = 'minus'").select("sample_id"))
+    return strand.sample_profiles(A.observations(s, d).where(SP), strand.ranked_clusters(_clusters(s, d), 50), both)
+
+
 # ------------------------------------------------------------------ export
 
 #: Samples of the busiest kind share rows; the export works on those that share the control's rows most.

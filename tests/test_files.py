@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cpgloom import cli
 from cpgloom.functions.codec import TrackKey, encode_percent, parse_half_open_region, parse_inclusive_region, parse_locus
-from cpgloom.operators import embed, export, grouping, matrix, metadata, ranges, segments
+from cpgloom.operators import embed, export, grouping, matrix, metadata, ranges, segments, strand
 from cpgloom.plans import commands, queries
 from cpgloom.sources import arrays, beds, fasta, store
 
@@ -323,6 +323,31 @@ def test_export_queries_hold_the_whole_roster(spark):
     assert labels.agg(F.sum("n_observed")).first()[0] == queries._view(spark, sf).count()
 
 
+def test_category_clusters_find_what_the_whole_misses(spark):
+    index = idx(spark, [(i, "chr1", 0, i * 5000) for i in range(3)])
+    pairs = [(0, f"a{i}", 9000, 1000) for i in range(9)] + [(1, "b0", 9000, 1000), (1, "b1", 9000, 1000)] + [(1, f"a{i}", 0, 9000) for i in range(2)]
+    pairs = spark.createDataFrame(pairs, "row_id long, sample_id string, p int, m int")
+    cat = spark.createDataFrame([(f"a{i}", "a") for i in range(9)] + [("b0", "b"), ("b1", "b")], "sample_id string, category string")
+    every = strand.hotspot_clusters(strand.best_rows(strand.strand_scores(pairs, 2), 1), index, 1000)
+    assert [r["representative_row_id"] for r in every.collect()] == [0]
+    best = strand.best_category_rows(strand.category_scores(pairs, cat, 0.02), 1)
+    got = strand.ranked_clusters(strand.hotspot_clusters(best, index, 1000, by=("category",)), 5, ("category",))
+    assert sorted((r["category"], r["representative_row_id"], r["rank"]) for r in got.collect()) == [("a", 0, 1), ("b", 1, 1)]
+
+
+def test_strand_command_groups_by_category(spark, two, tmp_path):
+    cells = [("5hmC", "combined", s, "chr1", 0, n, v) for n in ("x", "y") for s, v in (("plus", 9000), ("minus", 1000))]
+    cells += [("5hmC", "combined", "plus", "chr1", 0, "z", 9000)]
+    rows = spark.createDataFrame(cells, "assay string, haplotype string, strand string, chrom string, row_id long, sample_id string, value int")
+    cols = [{"assay": "5hmC", "haplotype": "combined", "strand": s, "sample_id": n, "platform": "t", "bundle_path": "t"} for s in ("plus", "minus") for n in ("x", "y", "z")]
+    store.write_cohort(rows, cols, f"{tmp_path}/cohort", f"{two}/index")
+    put(f"{tmp_path}/meta.tsv", "sample_id\ttissue\nx\tskin\ny\tblood\nz\tblood\n")
+    cli.run(["strand", "--cohort", f"{tmp_path}/cohort", "--index", f"{two}/index", "--output", f"{tmp_path}/out", "--fraction", "0.5", "--metadata", f"{tmp_path}/meta.tsv", "--group-by", "tissue"], spark)
+    read = lambda n: spark.read.csv(f"{tmp_path}/out/{n}", sep="\t", header=True)
+    assert sorted((r["category"], r["rank"]) for r in read("category_clusters").collect()) == [("blood", "1"), ("skin", "1")]
+    assert sorted((r["sample_id"], r["is_paired"]) for r in read("sample_profiles").collect()) == [("x", "true"), ("y", "true"), ("z", "false")]
+
+
 def test_chi_square_and_outliers():
     assert abs(embed.chi_square_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(embed.chi_square_quantile(0.999, 10) - 29.588298) < 1e-5
     x = np.random.default_rng(0).normal(size=(200, 2))
