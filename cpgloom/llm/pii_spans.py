@@ -80,8 +80,10 @@ _WORD = r"[^\W\d_]"
 _LAT = "A-Za-z0-9À-ɏ"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 EMAIL_PLAIN = re.compile(rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}[@＠]{_LABEL}(?:\.{_LABEL}){{1,6}}", _F)
+_AT = r"[\(\[{<](?:at|ät|arroba|a)[\)\]}>]"
+BRACKETED_AT = re.compile(_AT, _F)
 EMAIL_WORDS = re.compile(
-    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}(?:\s?[\(\[{{<](?:at|ät|arroba|a)[\)\]}}>]\s?| at )"
+    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}(?:\s?{_AT}\s?| at )"
     rf"{_LABEL}(?:(?:\s?[\(\[{{<](?:dot|punkt|point|punto)[\)\]}}>]\s?| dot |\.){_LABEL}){{1,6}}",
     _F,
 )
@@ -186,9 +188,9 @@ def _emails(t: str, out: list[Span]) -> None:
     plans = []
     if "@" in t or "＠" in t:
         plans += [("plain", EMAIL_PLAIN), ("spaced", EMAIL_SPACED)]
-    if "at" in low or "ät" in low or "arroba" in low or "(a)" in low:
-        if " dot " in low or any(x in low for x in ("dot]", "dot)", "dot}", "dot>", "(at)", "[at]", "{at}", "<at>", "punkt", "punto", "point")):
-            plans.append(("words", EMAIL_WORDS))
+    dots = " dot " in low or any(x in low for x in ("dot]", "dot)", "dot}", "dot>", "punkt", "punto", "point"))
+    if BRACKETED_AT.search(t) or dots and " at " in low:
+        plans.append(("words", EMAIL_WORDS))
     for form, pat in plans:
         for m in pat.finditer(t):
             a, b = m.span()

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from cpgloom.llm import pii_spans
 from cpgloom.llm.pii import aggregate_votes, find_personal_data, fit, redact_documents
 from cpgloom.llm.pii_spans import Lexicon, find_spans
 
@@ -70,3 +71,10 @@ def test_spans_stay_within_the_text():
     lex = Lexicon(frozenset({"mira"}), frozenset(), frozenset())
     for t in ("+", "(", "@", "1", "Mira", "A.", "Am 1", "12 a a a a", "x" * 1000, "( 030 1234567"):
         assert all(0 <= s.start < s.end <= len(t) for s in find_spans(t, lex))
+
+
+@pytest.mark.parametrize("at", [f"{a}{w}{b}" for a, b in ("()", "[]", "{}", "<>") for w in ("at", "ät", "arroba", "a", "ARROBA")])
+def test_bracketed_at_needs_no_spelled_dot(at):
+    out = []
+    pii_spans._emails(f"write to ana {at} lab.example today", out)
+    assert f"ana {at} lab.example" in [f"write to ana {at} lab.example today"[s.start : s.end] for s in out]
