@@ -183,17 +183,17 @@ def combine_tracks(obs: DataFrame, how: str) -> DataFrame:
     return obs.groupBy("row_id", "sample_id").agg(out.alias("fraction"))
 
 
-def sliding_mean(points: DataFrame, k: int, min_points: int = 3) -> DataFrame:
-    """Trailing mean over exactly k observed points of each track and sample (position and fraction);
+def sliding_mean(points: DataFrame, k: int, min_points: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Trailing mean over exactly k observed points of each track and sample, within the keys ``by`` (position and fraction);
     series with fewer than k or ``min_points`` points, and k below 2, stay as they are."""
-    key = Window.partitionBy(*VIEW, "sample_id")
+    key = Window.partitionBy(*VIEW, "sample_id", *by)
     w = key.orderBy("pos0", "row_id")
     run = w.rowsBetween(-(k - 1), 0)
     x = points.withColumns({"m": F.count(F.lit(1)).over(key), "i": F.row_number().over(w)})
     raw = (F.col("m") < max(k, min_points)) | F.lit(k < 2)
     smooth = x.withColumns({"px": F.avg("pos0").over(run), "pv": F.sum("value").over(run) / F.count(F.lit(1)).over(run) / VALUE_MAX})
     return smooth.where(raw | (F.col("i") >= k)).select(
-        *VIEW, "sample_id", F.when(raw, F.col("pos0").cast("double")).otherwise(F.col("px")).alias("pos0_mean"),
+        *VIEW, "sample_id", *by, F.when(raw, F.col("pos0").cast("double")).otherwise(F.col("px")).alias("pos0_mean"),
         F.when(raw, F.col("value") / F.lit(float(VALUE_MAX))).otherwise(F.col("pv")).alias("fraction"),
     )
 

@@ -595,6 +595,15 @@ def sliding_mean(s, d):
     return matrix.sliding_mean(at, 5).withColumns({"pos0_mean": F.round("pos0_mean", 6), "fraction": F.round("fraction", 9)})
 
 
+@query(f"""WITH {OBS}, q AS (SELECT o.*, i.chrom, i.pos0, count(*) OVER (PARTITION BY assay, haplotype, strand, sample_id, chrom) AS m, row_number() OVER w AS i, avg(pos0) OVER x AS px, sum(value) OVER x / count(*) OVER x / 10000.0::DOUBLE AS pv
+FROM obs o JOIN cpg_index i USING (row_id) WINDOW w AS (PARTITION BY assay, haplotype, strand, sample_id, chrom ORDER BY pos0, row_id), x AS (PARTITION BY assay, haplotype, strand, sample_id, chrom ORDER BY pos0, row_id ROWS 4 PRECEDING))
+SELECT assay, haplotype, strand, sample_id, chrom, round(CASE WHEN m < 5 THEN pos0 ELSE px END, 6) AS pos0_mean, round(CASE WHEN m < 5 THEN value / 10000.0::DOUBLE ELSE pv END, 9) AS fraction FROM q WHERE m < 5 OR i >= 5""")
+def sliding_mean_chromosomes(s, d):
+    """Smoothed profiles of every chromosome."""
+    at = A.observations(s, d).join(A.index(s, d).select("row_id", "chrom", "pos0"), "row_id")
+    return matrix.sliding_mean(at, 5, by=("chrom",)).withColumns({"pos0_mean": F.round("pos0_mean", 6), "fraction": F.round("fraction", 9)})
+
+
 @query(f"""WITH {WIN}, {DEC}, t AS (SELECT row_number() OVER (ORDER BY chrom_ord, pos0) - 1 AS target_row, chrom, pos0 AS s, pos0 + 2 AS e FROM cpg_index)
 SELECT g.group_row, t.target_row, (t.target_row IS NOT NULL) AS matched FROM grp g LEFT JOIN t ON t.chrom = g.chrom AND t.s = g."start" AND t.e = g."end" """)
 def atlas_alignment(s, d):

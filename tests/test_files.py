@@ -348,6 +348,13 @@ def test_strand_command_groups_by_category(spark, two, tmp_path):
     assert sorted((r["sample_id"], r["is_paired"]) for r in read("sample_profiles").collect()) == [("x", "true"), ("y", "true"), ("z", "false")]
 
 
+def test_smoothing_covers_every_chromosome(spark):
+    sf = "/root/testdata/sf0.001"
+    chroms = {r[0] for r in queries.A.observations(spark, sf).join(queries.A.index(spark, sf), "row_id").select("chrom").distinct().collect()}
+    got = {r[0] for r in queries.QUERIES["sliding_mean_chromosomes"](spark, sf).select("chrom").distinct().collect()}
+    assert len(chroms) > 1 and got == chroms
+
+
 def test_chi_square_and_outliers():
     assert abs(embed.chi_square_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(embed.chi_square_quantile(0.999, 10) - 29.588298) < 1e-5
     x = np.random.default_rng(0).normal(size=(200, 2))
