@@ -1,6 +1,8 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from cpgloom.sources.lines import FORMATS, parse_block, parse_lines, parse_strict, split_strict
+from cpgloom.sources.lines import FORMATS, _structure, parse_block, parse_lines, parse_strict, split_strict
 
 S, M, H = FORMATS["sniffcell_index"], FORMATS["methbat_5mc"], FORMATS["methbat_5hmc"]
 
@@ -33,13 +35,31 @@ def test_strict(fmt, line, reason):
 @pytest.mark.parametrize("fmt", [S, M, H])
 def test_blocks_agree_with_strict_parsing(fmt):
     lines = [x for f, x, _ in CASES if f.columns == fmt.columns] * 7
-    why, values = parse_block(lines, fmt)
+    p = parse_block(lines, fmt)
+    rows = {int(i): (None, {c: a[j].as_py() for c, a in p.columns.items()}) for j, i in enumerate(p.valid)} | dict(zip(p.strict, p.outcomes))
     for i, x in enumerate(lines):
-        reason, row = parse_strict(x, fmt)
-        assert why[i] == reason, x
-        if reason is None:
-            assert {c: v[i] for c, v in values.items()} == row
-    assert parse_block([], fmt)[0] == []
+        assert rows[i] == parse_strict(x, fmt), x
+    assert len(rows) == len(lines) and len(parse_block([], fmt).valid) == 0
+    assert [why for why, _ in parse_block(lines, fmt, typed=False).outcomes if why] == [w for w in (parse_strict(x, fmt)[0] for x in lines) if w]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet='"\ta0é\n\x1f', max_size=12), max_size=8))
+def test_structure_against_the_strict_splitter(lines):
+    import pyarrow as pa
+
+    fields, regular, split = _structure(pa.array(["skip", *lines], pa.string()).slice(1))
+    for x, n, ok, s in zip(lines, fields, regular, split.to_pylist()):
+        want = split_strict(x)
+        assert ok == (want is not None and "\x1f" not in x)
+        if ok:
+            assert n == len(want) and (not x or [f[1:-1].replace('""', '"') if f.startswith('"') else f for f in s.split("\x1f")] == want)
+
+
+def test_valid_quoted_lines_stay_on_the_fast_path():
+    lines = ['"chr1"\t0\t"5"\t0\t2', '"a\tb"\t0\t5\t0\t2', '"a""b"\t0\t5\t0\t2'] * 100
+    p = parse_block(lines, S)
+    assert len(p.valid) == 300 and not p.strict and p.columns["chrom"].to_pylist()[:3] == ["chr1", "a\tb", 'a"b']
 
 
 def test_split():
