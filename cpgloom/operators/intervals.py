@@ -13,16 +13,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Coordinates are ranked within bins of this width, and bins within their entity. It bounds the rows
-#: that one task sorts (distinct coordinates of a bin) whatever share of the data an entity holds.
+from ..session import cut_lineage
+
+#: Entities whose first column has at most this many rows are ranked by one task each.
+HOT_ROWS = 200_000
+#: Coordinates of the other entities are ranked within bins of this width, and bins within their entity.
+#: It bounds the rows that one task sorts (distinct coordinates of a bin) whatever share an entity holds.
 BIN_WIDTH = 1 << 20
+#: A list of up to this many first-column values (some 50 bytes each) is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def _points(src: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Starts and ends counted per coordinate."""
+    both = F.array(
+        F.struct(F.col("a").alias("x"), F.lit(1).alias("s"), F.lit(0).alias("e")),
+        F.struct(F.col("b").alias("x"), F.lit(0).alias("s"), F.lit(1).alias("e")),
+    )
+    return src.select(*keys, F.inline(both)).groupBy(*keys, "x").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+
+
+def _boundaries(ranked: DataFrame) -> DataFrame:
+    """Keep the coordinates where a period begins or ends, from the ranks ``s0`` and ``e0`` below each.
+
+    A start begins a period where as many ends as starts lie below it: s(i + 1) > e(i). An end closes
+    one where no start is left open and none begins at the same place."""
+    head = (F.col("s") > 0) & (F.col("s0") == F.col("e0"))
+    tail = (F.col("s") == 0) & (F.col("s0") == F.col("e0") + F.col("e"))
+    return ranked.where(head | tail).withColumn("head", head)
+
+
+def _spans(paired: DataFrame, entity: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Each boundary and the next one of its entity: a period after a head, a gap after a tail."""
+    return paired.where(F.col("next").isNotNull()).select(
+        F.when(F.col("head"), "period").otherwise("gap").alias("kind"),
+        *[F.col(n).alias(c) for c, n in zip(entity, keys)],
+        F.col("x").alias("span_start"),
+        F.col("next").alias("span_end"),
+    )
+
+
+def _ranks(points: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
+    upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    return tuple(F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in "se")
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & (a[n] == b[n])
-    return cond
+def _whole(src: DataFrame, entity: Sequence[str], k: Sequence[str]) -> DataFrame:
+    """One task ranks an entity: rows are dealt out once by entity and counted, ranked and paired there."""
+    points = _points(src.repartition(*k), k)
+    s0, e0 = _ranks(points, k)
+    events = _boundaries(points.withColumns({"s0": s0, "e0": e0})).select(*k, "x", "head")
+    return _spans(events.withColumn("next", F.lead("x").over(Window.partitionBy(*k).orderBy("x"))), entity, k)
+
+
+def _binned(src: DataFrame, entity: Sequence[str], k: Sequence[str], bin_width: int) -> DataFrame:
+    """Many tasks rank an entity: coordinates are counted before the shuffle, ranked within bins, and
+    per-bin totals give the ranks at which a bin begins."""
+    points = cut_lineage(_points(src, k).withColumn("bin", F.floor(F.col("x") / F.lit(bin_width))))
+    at = [*k, "bin"]
+    before = Window.partitionBy(*k).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = points.groupBy(*at).agg(F.sum("s").alias("s"), F.sum("e").alias("e")).select(
+        *at, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_bin") for c in "se"]
+    )
+    s0, e0 = _ranks(points, at)
+    ranked = points.join(totals, at).withColumns({"s0": F.col("s_bin") + s0, "e0": F.col("e_bin") + e0})
+    events = cut_lineage(_boundaries(ranked).select(*at, "x", "head"))
+    ahead = Window.partitionBy(*k).orderBy("bin")
+    firsts = events.groupBy(*at).agg(F.min("x").alias("x")).select(*at, F.lead("x").over(ahead).alias("beyond"))
+    follow = F.lead("x").over(Window.partitionBy(*at).orderBy("x"))
+    return _spans(events.join(firsts, at).withColumn("next", F.coalesce(follow, "beyond")), entity, k)
 
 
 def periods_and_gaps(
@@ -31,6 +90,8 @@ def periods_and_gaps(
     start: str,
     end: str,
     *,
+    size_key: Column | None = None,
+    hot_rows: int = HOT_ROWS,
     bin_width: int = BIN_WIDTH,
 ) -> DataFrame:
     """Merge the intervals ``[start, end)`` of each entity and list the gaps.
@@ -41,87 +102,29 @@ def periods_and_gaps(
     reversed intervals, take no part. Repeated rows change nothing. An empty table gives no rows.
     Other columns of ``df``, whatever their names, are ignored.
 
-    Plan: rows are reduced to counts per (entity, coordinate) before the shuffle; bins of coordinates,
-    not entities, are the unit of work, and per-bin totals give the ranks at which a bin begins.
+    ``size_key`` (default: the first entity column) is a cheap column that is constant within an entity;
+    its row counts bound the entities' sizes. Entities of a value with more than ``hot_rows`` rows are
+    ranked by bins of coordinates and never meet in one task. Both ways give the same rows.
     """
     k = [f"k{i}" for i in range(len(entity))]
+    key = F.col(f"`{entity[0]}`") if size_key is None else size_key
+    sized = df.select(key.alias("size_key"))
     src = df.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(entity, k)],
         F.col(f"`{start}`").cast("long").alias("a"),
         F.col(f"`{end}`").cast("long").alias("b"),
+        key.alias("size_key"),
     ).where(F.col("b") > F.col("a"))
     for n in k:
         src = src.where(F.col(n).isNotNull())
-    points = (
-        src.select(
-            *k,
-            F.inline(
-                F.array(
-                    F.struct(F.col("a").alias("x"), F.lit(1).alias("s"), F.lit(0).alias("e")),
-                    F.struct(F.col("b").alias("x"), F.lit(0).alias("s"), F.lit(1).alias("e")),
-                )
-            ),
-        )
-        .groupBy(*k, "x")
-        .agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-        .withColumn("bin", F.floor(F.col("x") / F.lit(bin_width)))
-    )
-    is_end = F.when(F.col("e") > 0, F.col("x"))
-    bins = points.groupBy(*k, "bin").agg(
-        F.sum("s").alias("s"), F.sum("e").alias("e"), F.max(is_end).alias("last")
-    )
-    over_entity = Window.partitionBy(*k)
-    before = over_entity.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(
-        *k,
-        "bin",
-        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"),
-        F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"),
-        F.max("last").over(before).alias("last0"),
-        F.max("last").over(over_entity).alias("final"),
-    )
-    joined = points.join(bins, [*k, "bin"])
-    upto = Window.partitionBy(*k, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = joined.select(
-        *k,
-        "bin",
-        "x",
-        "s",
-        "final",
-        (F.col("s0") + F.coalesce(F.sum("s").over(upto), F.lit(0))).alias("starts_before"),
-        (F.col("e0") + F.coalesce(F.sum("e").over(upto), F.lit(0))).alias("ends_before"),
-        F.coalesce(F.max(is_end).over(upto), F.col("last0")).alias("previous_end"),
-    )
-    # s(i + 1) > e(i): as many ends as starts lie strictly below this start
-    heads = ranked.where((F.col("s") > 0) & (F.col("starts_before") == F.col("ends_before"))).select(
-        *k, "bin", "x", "previous_end", "final"
-    )
-    # the end of a period is the previous_end of the next head, perhaps in a later bin
-    firsts = heads.groupBy(*k, "bin").agg(F.min_by("previous_end", "x").alias("first_end"))
-    firsts = firsts.select(
-        *k, "bin", F.lead("first_end").over(over_entity.orderBy("bin")).alias("next_end")
-    )
-    in_bin = Window.partitionBy(*k, "bin").orderBy("x")
-    paired = heads.join(firsts, [*k, "bin"]).select(
-        *k,
-        "x",
-        "previous_end",
-        F.coalesce(F.lead("previous_end").over(in_bin), F.col("next_end"), F.col("final")).alias("period_end"),
-    )
-    spans = F.array(
-        F.struct(F.lit("period").alias("kind"), F.col("x").alias("a"), F.col("period_end").alias("b")),
-        F.struct(F.lit("gap").alias("kind"), F.col("previous_end").alias("a"), F.col("x").alias("b")),
-    )
-    return (
-        paired.select(*k, F.inline(spans).alias("kind", "a", "b"))
-        .where(F.col("a").isNotNull())
-        .select(
-            "kind",
-            *[F.col(n).alias(c) for c, n in zip(entity, k)],
-            F.col("a").alias("span_start"),
-            F.col("b").alias("span_end"),
-        )
-    )
+    hot = sized.groupBy("size_key").count().where((F.col("count") > hot_rows) & F.col("size_key").isNotNull())
+    hot = cut_lineage(hot.select("size_key"))
+    n_hot = hot.count()
+    if not n_hot:
+        return _whole(src.drop("size_key"), entity, k)
+    few = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    cold = src.join(few, "size_key", "left_anti").drop("size_key")
+    return _whole(cold, entity, k).unionByName(_binned(src.join(few, "size_key", "left_semi").drop("size_key"), entity, k, bin_width))
 
 
 def normal_chrom(c: Column) -> Column:

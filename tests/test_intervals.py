@@ -32,21 +32,22 @@ def run(spark, rows, **kw):
     return set(got)
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("width", [3, 16, 1 << 20])
-def test_against_brute_force(spark, seed, width):
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("kw", [{}, dict(hot_rows=100, bin_width=3), dict(hot_rows=0, bin_width=16), dict(hot_rows=100)])
+def test_against_brute_force(spark, seed, kw):
     r = random.Random(seed)
     rows = []
     for _ in range(400):
         a = r.randrange(-40, 400)
         rows.append((r.choice(["hot"] * 5 + ["x", "y", None]), r.choice([a, a, a, None]), a + r.randrange(-2, 30)))
     rows += rows[:50]
-    assert run(spark, rows, bin_width=width) == brute(rows)
+    assert run(spark, rows, **kw) == brute(rows)
 
 
 def test_touching_nested_and_far_apart(spark):
     rows = [("k", 0, 5), ("k", 5, 9), ("k", 1, 3), ("k", 50, 60), ("k", 50, 60), ("k", 7, 7), ("k", 9, 2)]
-    assert run(spark, rows, bin_width=4) == {("period", "k", 0, 9), ("period", "k", 50, 60), ("gap", "k", 9, 50)}
+    for kw in ({}, dict(hot_rows=0, bin_width=4)):
+        assert run(spark, rows, **kw) == {("period", "k", 0, 9), ("period", "k", 50, 60), ("gap", "k", 9, 50)}
 
 
 def test_empty_table_and_only_unusable_rows(spark):
@@ -71,5 +72,5 @@ def test_hot_entity_is_spread(spark):
     """One entity holds nearly all rows; its bins are separate units of work."""
     n = 60000
     df = spark.range(n).select(F.lit("hot").alias("who"), (F.col("id") * 10).alias("a"), (F.col("id") * 10 + 4).alias("b"))
-    out = periods_and_gaps(df, ["who"], "a", "b", bin_width=1000).groupBy("kind").count().collect()
+    out = periods_and_gaps(df, ["who"], "a", "b", hot_rows=1000, bin_width=1000).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in out} == {"period": n, "gap": n - 1}
