@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import is_finite
+from ..session import cut_lineage
 from .intervals import periods_and_gaps
 from .matrix import each_sample
 from .ranges import overlap_join
@@ -13,20 +14,28 @@ from .ranges import overlap_join
 
 def merge_intervals(df: DataFrame, gap: int = 0) -> DataFrame:
     """Union of ``chrom, start, end`` of all samples; intervals up to ``gap`` apart merge, touching ones
-    at 0. ``region_id`` counts the regions in order of chromosome name and start."""
+    at 0. ``region_id`` counts the regions in order of chromosome name and start. The union is made once,
+    however often its rows are used."""
     wide = df.select("chrom", "start", (F.col("end") + gap).alias("end")).where(F.col("end") > F.col("start") + gap)
     p = periods_and_gaps(wide, ["chrom"], "start", "end").where("kind = 'period'")
-    merged = p.select("chrom", F.col("span_start").alias("start"), (F.col("span_end") - gap).alias("end"))
-    per = merged.groupBy("chrom").agg(F.count(F.lit(1)).alias("k"))
-    off = per.select("chrom", F.coalesce(F.sum("k").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("start"))
-    return merged.withColumn("rank", rank).join(F.broadcast(off), "chrom").select(  # one row per chromosome
-        (F.col("off") + F.col("rank")).alias("region_id"), "chrom", "start", "end"
-    )
+    merged = cut_lineage(p.select("chrom", F.col("span_start").alias("start"), (F.col("span_end") - gap).alias("end")))
+    return number_regions(merged)
+
+
+def number_regions(regions: DataFrame) -> DataFrame:
+    """``region_id`` from 1 in order of chromosome name and start: ranks within a chromosome plus the counts
+    of those before it, so no task sees all regions."""
+    per = regions.groupBy("chrom").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)  # one row per chromosome
+    off = per.select("chrom", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("off"))
+    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end"))
+    out = regions.withColumn("rank__", rank).join(F.broadcast(off), "chrom").withColumn("region_id", F.col("off") + F.col("rank__"))
+    return out.select("region_id", *[c for c in regions.columns if c != "region_id"])
 
 
 def drop_sex_chromosomes(regions: DataFrame) -> DataFrame:
-    return regions.where(~F.lower("chrom").isin("x", "y", "chrx", "chry"))
+    """Regions off the sex chromosomes, numbered anew."""
+    return number_regions(regions.where(~F.lower("chrom").isin("x", "y", "chrx", "chry")))
 
 
 def project_metric(segments: DataFrame, regions: DataFrame, metric: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import embed, export, grouping, matrix, metadata, ranges, segments, strand
+from ..session import cut_lineage
 from ..sources.fasta import motif_positions
 from . import adapters as A
 from .adapters import META, OBS, SEG
@@ -320,8 +321,15 @@ fl AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + {gap} THEN 1 ELSE 0
 uni AS (SELECT row_number() OVER (ORDER BY chrom, min(s)) AS region_id, chrom, min(s) AS "start", max(e) AS "end" FROM fl GROUP BY chrom, grp)"""
 
 
-def _union(s, d, gap):
-    return segments.merge_intervals(A.segments(s, d).where("name = 'different'"), gap)
+def _union(s, d, gap, seg=None):
+    seg = A.segments(s, d) if seg is None else seg
+    return segments.merge_intervals(seg.where("name = 'different'"), gap)
+
+
+def _segments_and_union(s, d):
+    """The clean segments, made once, and their union."""
+    seg = cut_lineage(A.segments(s, d))
+    return seg, _union(s, d, 2000, seg)
 
 
 @query(f"WITH {_uni(0)} SELECT * FROM uni")
@@ -339,21 +347,21 @@ OVL = """ov AS (SELECT u.region_id, g.sample_id, g.effect_size AS v, least(g.e,
 
 @query(f"WITH {_uni(2000)}, {OVL} SELECT region_id, sample_id, round(sum(v * w) / sum(w), 9) AS value FROM ov WHERE v IS NOT NULL AND isfinite(v) GROUP BY ALL")
 def overlap_weighted_mean(s, d):
-    return segments.project_metric(A.segments(s, d), _union(s, d, 2000), "effect_size").withColumn("value", F.round("value", 9))
+    return segments.project_metric(*_segments_and_union(s, d), "effect_size").withColumn("value", F.round("value", 9))
 
 
 @query(f"""WITH {_uni(2000)}, {OVL}, sa AS (SELECT DISTINCT sample_id FROM seg), h AS (SELECT DISTINCT region_id, sample_id FROM ov)
 SELECT u.region_id, sa.sample_id, CASE WHEN h.region_id IS NULL THEN 0 ELSE 1 END::INT AS value FROM uni u CROSS JOIN sa LEFT JOIN h ON h.region_id = u.region_id AND h.sample_id = sa.sample_id""")
 def overlap_presence(s, d):
-    seg = A.segments(s, d)
-    return segments.project_presence(seg, _union(s, d, 2000), seg.select("sample_id").distinct())
+    seg, uni = _segments_and_union(s, d)
+    return segments.project_presence(seg, uni, seg.select("sample_id").distinct())
 
 
 @query(f"""WITH {_uni(2000)}, {OVL}, h AS (SELECT DISTINCT region_id, sample_id FROM ov)
 SELECT region_id, count(*) AS n_support FROM h GROUP BY 1 HAVING count(*) >= 2 AND count(*) / (SELECT count(DISTINCT sample_id) FROM seg)::DOUBLE >= 0.02""")
 def region_support(s, d):
-    seg = A.segments(s, d)
-    x = ranges.overlap_join(seg.select("sample_id", "chrom", "start", "end"), _union(s, d, 2000))
+    seg, uni = _segments_and_union(s, d)
+    x = ranges.overlap_join(seg.select("sample_id", "chrom", "start", "end"), uni)
     hits = x.select(F.col("r_region_id").alias("region_id"), F.col("l_sample_id").alias("sample_id")).distinct()
     return segments.supported_regions(hits, seg.select("sample_id").distinct().count(), 2, 0.02)
 

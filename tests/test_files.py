@@ -269,11 +269,26 @@ def test_range_join_against_brute_force(spark):
     a = [(f"c{r.integers(2)}", int(s), int(s + r.choice([0, 1, 5, 3000, 90000, 5000000]))) for s in r.integers(0, 6000000, 120)]
     b = [(f"c{r.integers(2)}", int(s), int(s + r.choice([1, 40, 2000, 700000]))) for s in r.integers(0, 6000000, 150)]
     df = lambda x: spark.createDataFrame([(*t, i) for i, t in enumerate(x)], "chrom string, start long, end long, id long")
-    got = sorted((q["l_id"], q["r_id"], q["overlap"]) for q in ranges.overlap_join(df(a), df(b)).collect())
+    pairs = lambda **k: sorted((q["l_id"], q["r_id"], q["overlap"]) for q in ranges.overlap_join(df(a), df(b), **k).collect())
+    got = pairs()
+    assert pairs(broadcast_rows=0) == got
     want = sorted((i, j, min(x[2], y[2]) - max(x[1], y[1])) for i, x in enumerate(a) for j, y in enumerate(b) if x[2] > x[1] and x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
     assert got == want
 
 
+def test_points_in_intervals_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    p = [(i, r.choice(["c0", "c1", None]), int(x)) for i, x in enumerate(r.integers(0, 300000, 200))] + [(200, "c0", None)]
+    iv = [(i, f"c{r.integers(2)}", int(s), int(s + r.choice([0, 1, 900, 40000, 250000]))) for i, s in enumerate(r.integers(0, 300000, 60))]
+    points = spark.createDataFrame([(i, None if c is None else str(c), x) for i, c, x in p], "row_id long, chrom string, pos0 int")
+    spans = spark.createDataFrame(iv, "region_id long, chrom string, start long, end long")
+    want = sorted((i, j) for i, c, x in p for j, d, s, e in iv if c == d and x is not None and s <= x < e)
+    for k in (50, 0):
+        assert sorted((q["p_row_id"], q["i_region_id"]) for q in ranges.points_in_intervals(points, spans, broadcast_rows=k).collect()) == want
+    assert {q["row_id"] for q in ranges.points_covered(points, spans).collect()} == {i for i, _ in want}
+    assert ranges.points_in_intervals(points, spans.limit(0)).count() == 0 and ranges.points_in_intervals(points.limit(0), spans).count() == 0
+
+
 def test_segments_of_several_samples_merge_in_any_order(spark):
     s = spark.createDataFrame([("chr1", 50, 60), ("chr1", 1, 5), ("chr1", 5, 8), ("chr2", 1, 2)], "chrom string, start long, end long")
     assert [(r["region_id"], r["start"], r["end"]) for r in segments.merge_intervals(s).orderBy("region_id").collect()] == [(1, 1, 8), (2, 50, 60), (3, 1, 2)]
