@@ -127,17 +127,21 @@ def periods_and_gaps(
     return _whole(cold, entity, k).unionByName(_binned(src.join(few, "size_key", "left_semi").drop("size_key"), entity, k, bin_width))
 
 
+#: The blanks that uneven spelling may hold.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def normal_chrom(c: Column) -> Column:
     """``chr1``..``chr22``, ``chrX``, ``chrY`` from uneven spellings; null if nothing is left."""
-    core = F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"^chr", "")
-    core = F.regexp_replace(core, r"^\s+", "")
+    low = F.lower(F.btrim(c, F.lit(BLANKS)))
+    core = F.ltrim(F.when(low.startswith("chr"), F.substring(low, 4, 1 << 30)).otherwise(low), F.lit(BLANKS))
     core = F.when(F.length(core) <= 1, F.upper(core)).otherwise(core)
     return F.when(core != "", F.concat(F.lit("chr"), core))
 
 
 def normal_name(c: Column) -> Column:
     """Lower case without surrounding blanks; null if blank."""
-    n = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    n = F.lower(F.btrim(c, F.lit(BLANKS)))
     return F.when(n != "", n)
 
 
