@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared checkpoint folder, for wide or large intermediate results:
+    columns are compressed and read one by one. Removed when the driver's process ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clean
+        pass
+
+
 #: Tasks per core that work in Python should have at least.
 TASKS_PER_CORE = 4
 
