@@ -1,9 +1,10 @@
 """Percentiles of very large numeric columns by distributed multi-select (problem 3).
 
 All wanted ranks of a group are selected together. Proposers (hash slices of the values) each name
-their local weighted median, the weighted median of those becomes the pivot, values are counted below,
-at and above it, and ranges that hold none of the wanted ranks are discarded. This repeats for every
-group until each rank is found or its range is small enough for one task to sort.
+their local weighted medians, the weighted medians of those become pivots, values are counted below, at
+and above each, and ranges that hold none of the wanted ranks are discarded. This repeats for every
+group until each rank is found or its range is small enough for one task to sort. A pass does several
+halvings at once: the median, those of the two halves, and so on.
 
 A percentile p of n values is the value of rank ``ceil(p * n / 100)``: an observed value, with rank
 error 0. The state of a batch or day is its table of value counts; states combine by adding counts, so
@@ -18,18 +19,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, keep
 
 PERCENTS = (5, 25, 50, 75, 95, 99)
-#: A group, or a range of one, with at most this many rows is sorted by one task.
-LOCAL_ROWS = 1024
-#: Hash slices of a group's values that propose a median each.
+#: A group, or a range of one, with at most this many values is sorted by one task.
+LOCAL_ROWS = 96
+#: Hash slices of a group's values that propose medians.
 PROPOSERS = 64
+#: Halvings of a range that one pass does: medians, medians of the halves, and so on.
+HALVINGS = 4
 #: Tables of ranges up to this many rows are broadcast (about 200 bytes each); larger ones are joined on salted keys.
 BROADCAST_ROWS = 50_000
 RANK_ERROR = 0
 
 
+def _common_type(df: DataFrame, values: dict[str, Column]) -> str:
+    """The type that holds the values of all fields exactly: their own if it is one, 64-bit integers for
+    integers, else double."""
+    kinds = {f.dataType.simpleString() for f in df.select(*values.values()).schema}
+    if kinds <= {"tinyint", "smallint", "int", "bigint"}:
+        return "bigint"
+    return kinds.pop() if len(kinds) == 1 else "double"
+
+
+def _value(c: Column, kind: str) -> Column:
+    """The value in its type; NaN is no value, and minus zero is zero."""
+    c = c.cast(kind)
+    return F.when(~F.isnan(c), c + F.lit(0).cast(kind)) if kind in ("double", "float") else c
+
+
 def first_delivery(df: DataFrame, key: str, loaded: str) -> DataFrame:
     """Of rows with one ``key`` the one loaded first (a null time is last); rows with a null key stand
     for themselves. Ties on the time are broken by the other columns."""
@@ -40,9 +58,11 @@ def first_delivery(df: DataFrame, key: str, loaded: str) -> DataFrame:
 
 
 def percentile_state(df: DataFrame, group: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """``<group>, field_name, value, n``: counts of the non-null values of each field. Counts are added
-    before the shuffle, and a group's values spread over all tasks."""
-    cells = F.array(*[F.struct(F.lit(k).alias("field_name"), c.cast("long").alias("value")) for k, c in values.items()])
+    """``<group>, field_name, value, n``: counts of the values of each field; null and NaN are none.
+    Values keep their type (see ``_common_type``). Counts are added before the shuffle, and a group's
+    values spread over all tasks."""
+    kind = _common_type(df, values)
+    cells = F.array(*[F.struct(F.lit(k).alias("field_name"), _value(c, kind).alias("value")) for k, c in values.items()])
     long = df.select(*group, F.inline(cells)).where(F.col("value").isNotNull())
     return long.groupBy(*group, "field_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -73,6 +93,25 @@ def _finish(items: DataFrame, targets: DataFrame) -> DataFrame:
     return run.join(ks, ["g", "r"]).where(hit).select("g", "p", "value")
 
 
+def _pivots(items: DataFrame, parts: int) -> DataFrame:
+    """``g, r, pv``: pivots that cut every range into about ``parts`` equal parts.
+
+    Every slice proposes its weighted median, the medians of its halves and so on (its j/parts points);
+    the weighted median of the slices' proposals for one j is a pivot."""
+    w = Window.partitionBy("g", "r", "slice")
+    local = items.withColumns({
+        "c": F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "t": F.sum("n").over(w)
+    })
+    first, last = F.expr(f"(c - n) * {parts} div t + 1"), F.least(F.expr(f"c * {parts} div t"), F.lit(parts - 1).cast("long"))
+    proposed = local.where(first <= last).select("g", "r", F.explode(F.sequence(first, last)).alias("j"), F.col("value").alias("pivot"), F.col("t").alias("weight"), "slice")
+    w = Window.partitionBy("g", "r", "j")
+    agreed = proposed.withColumns({
+        "c": F.sum("weight").over(w.orderBy("pivot", "slice").rowsBetween(Window.unboundedPreceding, 0)), "t": F.sum("weight").over(w)
+    })
+    agreed = agreed.where((2 * F.col("c") >= F.col("t")) & (2 * (F.col("c") - F.col("weight")) < F.col("t")))
+    return agreed.groupBy("g", "r").agg(F.array_sort(F.collect_set("pivot")).alias("pv"))
+
+
 def multi_select(
     state: DataFrame,
     group: Sequence[str],
@@ -80,106 +119,64 @@ def multi_select(
     *,
     local_rows: int = LOCAL_ROWS,
     proposers: int = PROPOSERS,
+    halvings: int = HALVINGS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Percentiles of a state (``<group>, value, n``): ``<group>, n, p<percent>...``.
 
     Null group values form a group of their own. Rows with a null value or a count below 1 take no
-    part; an empty state gives no rows. The number of rounds grows with the logarithm of the largest
-    group; each round is cut by a checkpoint in the shared folder, and only range sizes (one number)
-    reach the driver.
+    part; an empty state gives no rows. The number of passes grows with the logarithm of the largest
+    group; values are written once a pass to the shared folder, and only numbers of ranges reach the
+    driver.
     """
     state = state.where(F.col("value").isNotNull() & (F.col("n") > 0))
     key = F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)])
-    items = state.select(
-        key.alias("g"), F.col("value"), F.col("n").cast("long").alias("n"), F.lit(min(percents)).alias("r")
-    ).withColumn("slice", F.pmod(F.xxhash64("g", "value"), F.lit(proposers)).cast("int"))
-    items = cut_lineage(items)
-    # ranges: their item count decides whether they are finished at once or split
-    totals = items.groupBy("g", "r").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"))
-    ks = F.array(
-        *[
-            F.struct(F.lit(p).alias("p"), F.expr(f"(total * {p} + 99) div 100").alias("k"))
-            for p in percents
-        ]
+    kept = keep(state.select(key.alias("key"), F.col("value"), F.col("n").cast("long").alias("n")))
+    # groups are numbered, so that only their number travels with each value
+    totals = kept.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"))
+    totals = cut_lineage(totals.withColumn("g", F.monotonically_increasing_id()))
+    n_groups = totals.count()
+    ks = F.array(*[F.struct(F.lit(p).alias("p"), F.expr(f"(total * {p} + 99) div 100").alias("k")) for p in percents])
+    names = totals.select("key", "g")
+    items = kept.join(F.broadcast(names) if n_groups <= broadcast_rows else names, "key").select(
+        "g", F.lit(min(percents)).alias("r"), "value", "n", F.pmod(F.xxhash64("g", "value"), F.lit(proposers)).cast("int").alias("slice")
     )
-    sizes = cut_lineage(totals.select("g", "r", "m", "total", ks.alias("ks")))
-    overall = sizes.select("g", "total")
     found: list[DataFrame] = []
-    ranges = sizes.select("g", "r", "m", "ks")
+    ranges = totals.select("g", F.lit(min(percents)).alias("r"), "m", ks.alias("ks"))
     while True:
         stats = ranges.agg(
             F.count_if(F.col("m") <= local_rows).alias("ready"), F.count_if(F.col("m") > local_rows).alias("open")
         ).first()
         if stats["ready"]:
             done = ranges.where(F.col("m") <= local_rows).select("g", "r", "ks")
-            if stats["open"]:
-                small = stats["ready"] <= broadcast_rows
-                part = _attach(items, done.select("g", "r"), ["g", "r"], small, proposers)
-                found.append(cut_lineage(_finish(part.select("g", "r", "value", "n"), done)))
-            else:
-                found.append(_finish(items.select("g", "r", "value", "n"), done))
+            part = _attach(items, done.select("g", "r"), ["g", "r"], stats["ready"] <= broadcast_rows, proposers) if stats["open"] else items
+            found.append(_finish(part.select("g", "r", "value", "n"), done))
         if not stats["open"]:
             break
         small = stats["open"] <= broadcast_rows
         active = ranges.where(F.col("m") > local_rows).select("g", "r", "ks")
         items = _attach(items, active.select("g", "r"), ["g", "r"], small, proposers).select("g", "r", "value", "n", "slice")
-        # 1. every slice proposes its weighted median
-        w = Window.partitionBy("g", "r", "slice")
-        local = (
-            items.withColumn("c", F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("t", F.sum("n").over(w))
-            .where((2 * F.col("c") >= F.col("t")) & (2 * (F.col("c") - F.col("n")) < F.col("t")))
-            .select("g", "r", F.col("value").alias("pivot"), F.col("t").alias("weight"), "slice")
-        )
-        # 2. the weighted median of the proposals is the pivot
-        w = Window.partitionBy("g", "r")
-        order = w.orderBy("pivot", "slice").rowsBetween(Window.unboundedPreceding, 0)
-        pivots = (
-            local.withColumn("c", F.sum("weight").over(order))
-            .withColumn("t", F.sum("weight").over(w))
-            .where((2 * F.col("c") >= F.col("t")) & (2 * (F.col("c") - F.col("weight")) < F.col("t")))
-            .select("g", "r", "pivot")
-        )
-        pivots = cut_lineage(pivots)
-        # 3. count three ways
-        compared = _attach(items, pivots, ["g", "r"], small, proposers)
-        counts = compared.groupBy("g", "r", "pivot").agg(
-            F.sum(F.when(F.col("value") < F.col("pivot"), F.col("n")).otherwise(0)).alias("less"),
-            F.sum(F.when(F.col("value") == F.col("pivot"), F.col("n")).otherwise(0)).alias("equal"),
-        )
-        placed = (
-            active.join(counts, ["g", "r"])
-            .select("g", "r", "pivot", "less", "equal", F.inline("ks"))
-            .withColumn(
-                "side",
-                F.when(F.col("k") <= F.col("less"), -1).when(F.col("k") <= F.col("less") + F.col("equal"), 0).otherwise(1),
-            )
-        )
-        placed = cut_lineage(placed)
-        found.append(placed.where("side = 0").select("g", "p", F.col("pivot").alias("value")))
-        # 4. keep the sides that hold wanted ranks, discard the others
-        k = F.when(F.col("side") < 0, F.col("k")).otherwise(F.col("k") - F.col("less") - F.col("equal"))
-        sides = (
-            placed.where("side <> 0")
-            .groupBy("g", F.col("r").alias("old"), "pivot", "side")
-            .agg(F.min("p").alias("r"), F.sort_array(F.collect_list(F.struct("p", k.alias("k")))).alias("ks"))
+        pivots = cut_lineage(_pivots(items, 1 << halvings))
+        # count three ways at every pivot: odd places are equal to one, even ones lie between two
+        place = 2 * F.size(F.filter("pv", lambda x: x < F.col("value"))) + F.array_contains("pv", F.col("value")).cast("int")
+        placed = keep(_attach(items, pivots, ["g", "r"], small, proposers).select("g", "r", "value", "n", "slice", place.alias("b")))
+        counts = placed.groupBy("g", "r", "b").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"), F.min("value").alias("value"))
+        below = F.coalesce(F.sum("w").over(Window.partitionBy("g", "r").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hits = counts.withColumn("below", below).join(active.select("g", "r", F.inline("ks")), ["g", "r"])
+        hits = cut_lineage(hits.where((F.col("k") > F.col("below")) & (F.col("k") <= F.col("below") + F.col("w"))))
+        found.append(hits.where("b % 2 = 1").select("g", "p", "value"))
+        # keep the parts that hold wanted ranks, discard the others
+        sides = hits.where("b % 2 = 0").groupBy("g", F.col("r").alias("old"), "b").agg(
+            F.min("p").alias("r"), F.max("m").alias("m"), F.sort_array(F.collect_list(F.struct("p", (F.col("k") - F.col("below")).alias("k")))).alias("ks")
         )
         sides = cut_lineage(sides)
-        split = _attach(
-            items.withColumnRenamed("r", "old"), sides.select("g", "old", "pivot", "side", "r"), ["g", "old"], small, proposers
-        ).where(
-            ((F.col("side") < 0) & (F.col("value") < F.col("pivot"))) | ((F.col("side") > 0) & (F.col("value") > F.col("pivot")))
-        )
-        items = cut_lineage(split.select("g", "r", "value", "n", "slice"))
-        counted = items.groupBy("g", "r").agg(F.count(F.lit(1)).alias("m"))
-        ranges = cut_lineage(counted.join(sides.select("g", "r", "ks"), ["g", "r"]))
-    if not found:  # an empty state
-        found = [items.select("g", F.col("r").alias("p"), "value")]
-    every = reduce(lambda a, b: a.unionByName(b), found)
+        few = sides.select("g", "old", "b", "r")
+        items = _attach(placed.withColumnRenamed("r", "old"), few, ["g", "old", "b"], few.count() <= broadcast_rows, proposers).select("g", "r", "value", "n", "slice")
+        ranges = sides.select("g", "r", "m", "ks")
+    every = reduce(lambda a, b: a.unionByName(b), found) if found else items.select("g", F.col("r").alias("p"), "value")
     wide = every.groupBy("g").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p:02d}") for p in percents])
-    return overall.join(wide, "g").select(
-        *[F.col(f"g.g{i}").alias(c) for i, c in enumerate(group)],
+    return totals.join(wide, "g").select(
+        *[F.col(f"key.g{i}").alias(c) for i, c in enumerate(group)],
         F.col("total").alias("n"),
         *[f"p{p:02d}" for p in percents],
     )
@@ -198,17 +195,20 @@ def group_percentiles(
 ) -> DataFrame:
     """Percentiles of the fields ``values`` of every group of rows: ``<group>, field_name, n,
     p<percent>..., rank_error``. A group without a value of a field has n = 0 and null percentiles.
-    Null group values form a group. Repeated rows count as often as they occur; columns of ``df``
+    Values keep their type: integers come out as 64-bit integers, fractions as they are; fields of
+    different types as double. NaN counts as no value. Null group values form a group. Repeated rows count as often as they occur; columns of ``df``
     that are neither group nor value are ignored. An empty table gives no rows.
 
     ``upper_count``: rows from which group sizes may be counted cheaply, at least as many per group as
-    in ``df`` (default ``df``). Groups of at most ``local_rows`` rows are gathered by one task each;
-    the others go through the state and multi-select, and never meet in one task.
+    in ``df`` (default ``df``). Groups of at most ``local_rows`` rows are the base case of the rounds and
+    gathered by one task each; the others go through the state and multi-select, and never meet in one
+    task.
     """
     names = [f"k{i}" for i in range(len(group))]
     cells = {f"v{i}": c for i, c in enumerate(values.values())}
     fields = list(values)
-    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(group, names)], *[c.cast("long").alias(v) for v, c in cells.items()])
+    kind = _common_type(df, values)
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(group, names)], *[_value(c, kind).alias(v) for v, c in cells.items()])
     sized = (df if upper_count is None else upper_count).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(group, names)])
     hot = sized.groupBy(*names).count().where(F.col("count") > local_rows).drop("count")
     hot = cut_lineage(hot)
@@ -216,6 +216,7 @@ def group_percentiles(
     small_rows, out = rows, []
     if n_hot:
         few = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+        rows = small_rows = keep(rows)  # the rows are made once for both ways
         safe = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[k]) for k in names])
         small_rows = rows.join(few, safe, "left_anti")
         big_rows = rows.join(few, safe, "left_semi")

@@ -22,7 +22,7 @@ def data(spark):
     return rows, spark.createDataFrame(rows, "k string, v long").repartition(5)
 
 
-@pytest.mark.parametrize("kw", [dict(local_rows=8, proposers=4), dict(local_rows=64, proposers=3, broadcast_rows=0), dict(local_rows=1 << 20)])
+@pytest.mark.parametrize("kw", [dict(local_rows=8, proposers=4), dict(local_rows=8, proposers=1), dict(local_rows=64, proposers=3, broadcast_rows=0), dict(local_rows=1 << 20)])
 def test_groups_against_brute_force(spark, data, kw):
     rows, df = data
     df = df.withColumn("n", F.lit("clash")).withColumn("g", F.lit(1)).withColumn("p05", F.lit(0))
@@ -33,6 +33,20 @@ def test_groups_against_brute_force(spark, data, kw):
         assert r["n"] == len(xs) and [r[f"p{p:02d}"] for p in P] == brute(xs) and r["rank_error"] == 0
 
 
+def test_values_keep_their_type(spark):
+    r = random.Random(5)
+    xs = [r.choice([r.random(), 0.75, -0.0, float("nan"), None]) for _ in range(3000)] + [1.75, 2.75]
+    df = spark.createDataFrame([("k", x) for x in xs], "k string, v double").withColumn("w", F.round("v", 3).cast("decimal(12,3)")).withColumn("i", F.lit(7))
+    real = [x + 0.0 for x in xs if x is not None and x == x]
+    for rows in (64, 1 << 20):
+        one = group_percentiles(df, ["k"], {"v": F.col("v")}, local_rows=rows, proposers=3).first()
+        assert one["n"] == len(real) and [one[f"p{p:02d}"] for p in P] == brute(real)
+        both = {x["field_name"]: x for x in group_percentiles(df, ["k"], {"v": F.col("v"), "i": F.col("i")}, local_rows=rows, proposers=3).collect()}
+        assert [both["v"][f"p{p:02d}"] for p in P] == brute(real) and both["i"]["p50"] == 7.0
+        exact = group_percentiles(df.where("NOT isnan(v)"), ["k"], {"w": F.col("w")}, local_rows=rows, proposers=3)
+        assert exact.schema["p50"].dataType.simpleString() == "decimal(12,3)" and float(exact.first()["p75"]) == round(brute(real)[3], 3)
+
+
 def test_states_combine(spark, data):
     rows, df = data
     parts = [df.where(F.pmod(F.col("v"), F.lit(3)) == i) for i in range(3)]
