@@ -286,7 +286,11 @@ def track_states(track: DataFrame) -> DataFrame:
     return percentile_state(_once(track), [*TRACK, "sample_id", "day"], _usable())
 
 
-def combined_percentiles(states: Sequence[DataFrame], group: Sequence[str] = TRACK) -> DataFrame:
+#: The same for combined states: their groups are few, so that larger ranges per task save passes.
+COMBINED_LOCAL_ROWS = 8192
+
+
+def combined_percentiles(states: Sequence[DataFrame], group: Sequence[str] = TRACK, local_rows: int = COMBINED_LOCAL_ROWS) -> DataFrame:
     """Percentiles of the union of stored daily states, by default per track over all samples."""
-    out = multi_select(merge_states(states, group), [*group, "field_name"])
+    out = multi_select(merge_states(states, group), [*group, "field_name"], local_rows=local_rows)
     return out.withColumn("rank_error", F.lit(RANK_ERROR))
