@@ -7,7 +7,8 @@ per labeler of the kind, in the order of ``LABELERS``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re as stdre
+from dataclasses import dataclass
 
 import regex as re
 
@@ -35,7 +36,7 @@ PHONE_CUE = (
     r"appelez(?:-moi)?(?: le| au)?|ruft mich an|anrufen|llámame|móvil|portable|телефон|тел|звоните|電話|携帯|contact|sms|text|dial|reach me"
 )
 NOT_PERSONAL = (
-    r"box|ticket|lot|slide(?: says)?|barcode(?: is)?|accession|epoch|hash|commit|job|node|build|release|version|doi|rows?|chr\w+|sha\d*|"
+    r"box|ticket|lot|slide|barcode|accession|epoch|hash|commit|job|node|build|release|version|doi|rows?|chr\w+|sha\d*|"
     r"batch|serial(?: number| no\.?)?|s/n|order|part|file|issue|bug|pr|port|pid|device|sample|item|row|line|isbn|run|step|size|seed|rev"
 )
 STREET_TYPE = (
@@ -47,19 +48,26 @@ FRENCH_TYPE = r"rue|avenue|av\.|boulevard|bd|impasse|place|chemin|allée|quai|ro
 SPANISH_TYPE = r"calle|c/|avenida|avda\.?|av\.|plaza|pl\.|paseo|pº|camino|carretera|ronda|travesía"
 GERMAN_TAIL = r"straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm|berg|chaussee|steig|pfad"
 ADDRESS_CUE = (
-    r"(?:ship_to|addr|street|address|adresse)[\"'>]?\s?[:=\t]?\s?[\"'`]?|live at|living at|lives at|pick-?up (?:is )?at|ship (?:\w+ ){0,3}to|deliver (?:\w+ ){0,3}to|send (?:\w+ ){0,3}to|address(?: is)?:?|courier went to|"
+    r"(?:ship_to|addr|street|address|adresse)[\"'>]?\s?[:=\t]?\s?[\"'`]?|live at|living at|lives at|pick-?up (?:is )?at|ship (?:\w+ ){0,3}to|deliver (?:\w+ ){0,3}to|send (?:\w+ ){0,3}to|(?:came|went|moved|drive|drove|sent|goes|go) to|address(?: is)?:?|"
     r"住所[:：]?|адрес:?|wohne?n? (?:in|an)?|proben bitte an|bitte an|anschrift:?|adresse:?|habite(?: au)?|au|chez|env[íi]en (?:\w+ ){0,2}a|vivo en|dirección:?|visit \w+ at|based at|office at|located at|domicile:?"
 )
 PARTICLE = r"van der|van den|von der|de la|de los|van|von|de|der|den|di|da|du|del|la|le|al|bin|ibn|ter|zu|af"
 TITLE = r"dr|prof|mr|mrs|ms|mx|mme|mlle|m|frau|herr|señora|señor|sra|sr|doctora|doctor|docteur|professor|professeur"
+ROLE = (
+    r"colleague|coworker|co-worker|collaborator|supervisor|advisor|adviser|boss|manager|postdoc|technician|nurse|student|intern|friend|neighbou?r|"
+    r"teacher|partner|wife|husband|son|daughter|brother|sister|mother|father|director|engineer|editor|author|reviewer|patient|kollegin|kollege|"
+    r"collègue|compañer[oa]|amig[oa]|freundin|freund|коллега"
+)
 PERSON_CUE = (
     r"(?:dr|prof|mr|mrs|ms|mx|mme|mlle|sra|sr)\.|frau|herr|herrn|señora?|la doctora|el doctor|doctora?|professor|patient(?:in)?|"
-    r"thanks,|thank you,|regards,|wishes,|cheers,|best,|sincerely,|cc:|cc|from:|to:|by:|ask|author:|maintainer:|maintained by|contact:|owner:|name:|reviewed by|"
-    r"signed-off-by:|co-authored-by:|reported-by:|laut|según|d'après|d’après|selon|demandez à|demandez a|saludos,|viele grüße,|mit freundlichen grüßen,|"
-    r"cordialement,|script from|as|--|автор:|с уважением,|спросите,|спросите|担当[:：]|author\W{1,5}|owner\W{1,5}|name\W{1,5}|contact\W{1,5}|assignee\W{1,5}|maintainer\W{1,5}|user\W{1,5}"
-)
+    r"thanks,|thank you,|regards,|wishes,?|cheers,|best,|sincerely,|cc:|cc|from:|to:|by:|ask|author:|maintainer:|maintained by|contact:|owner:|name:|reviewed by|"
+    r"written by|signed by|sent by|signed-off-by:|co-authored-by:|reported-by:|laut|según|d'après|d’après|selon|demandez à|demandez a|saludos,|viele grüße,|mit freundlichen grüßen,|"
+    r"cordialement,|met|called|emailed|contacted|asked|told|thank|(?:my|our|your|his|her|their|the|a|former|new|old) (?:ROLE)|"
+    r"as|--|автор:|с уважением,|спросите,|спросите|担当[:：]|(?:author|owner|name|contact|assignee|maintainer|user|operator|reviewer|submitter)\W{1,5}"
+).replace("ROLE", ROLE)
 PERSON_AFTER = (
-    r"signed|and i|from the|said|says|wrote|who|is in|had the|has the|lo vio|aus dem|знает|told|asked|reported|<|さん|です。よろしく|氏|様|hat|a dit|dijo|c'est|es normal|ist das"
+    r"signed|and i\b|said|says|wrote|writes|who\b|works?\b|worked|fixed|left\b|sent|called|joined|replied|answered|noticed|found|confirmed|had\b|has\b|told|asked|reported|"
+    r"knows|thinks|suggested|mentioned|wants|uses|used|will\b|can\b|<|さん|です。よろしく|氏|様|hat\b|sagt|schrieb|meint|weiß|a dit|dit\b|écrit|dice|dijo|escribió|говорит|сказал|написал|знает"
 )
 #: Fixed: function words that are never part of a name or street, in the languages of the texts.
 FUNCTION_WORDS = frozenset(
@@ -79,16 +87,16 @@ _F = re.IGNORECASE
 _WORD = r"[^\W\d_]"
 _LAT = "A-Za-z0-9À-ɏ"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
-EMAIL_PLAIN = re.compile(rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}[@＠]{_LABEL}(?:\.{_LABEL}){{1,6}}", _F)
+EMAIL_PLAIN = re.compile(rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]*+[@＠]{_LABEL}(?:\.{_LABEL}){{1,6}}", _F)
 _AT = r"[\(\[{<](?:at|ät|arroba|a)[\)\]}>]"
 BRACKETED_AT = re.compile(_AT, _F)
 EMAIL_WORDS = re.compile(
-    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}}(?:\s?{_AT}\s?| at )"
+    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]*+(?:\s?{_AT}\s?| at )"
     rf"{_LABEL}(?:(?:\s?[\(\[{{<](?:dot|punkt|point|punto)[\)\]}}>]\s?| dot |\.){_LABEL}){{1,6}}",
     _F,
 )
 EMAIL_SPACED = re.compile(
-    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]{{0,80}} ?[@＠] ?{_LABEL}(?: ?\. ?{_LABEL}){{0,5}} ?\. ?[A-Za-z]{{2,10}}(?![A-Za-z0-9])", _F
+    rf"(?<![{_LAT}._%+\-])[{_LAT}][{_LAT}._%+\-]*+ ?[@＠] ?{_LABEL}(?: ?\. ?{_LABEL}){{0,5}} ?\. ?[A-Za-z]{{2,10}}(?![A-Za-z0-9])", _F
 )
 _SEP = r"[     .\-‐-–/]"
 NUMBER_RUN = re.compile(rf"(?<![A-Za-z0-9_])(?:\+ ?\d|\(\+?\d|\d)(?:\d|{_SEP}(?=[\d(])|\((?=\d)|\)(?={_SEP}?\d)){{7,24}}(?<=\d)")
@@ -101,23 +109,31 @@ PHONE_LAYOUT = re.compile(
 )
 STRONG_LAYOUT = re.compile(rf"\+.*|00\d.*|\(\d{{2,5}}\).*|\d{{3}}{S}\d{{3}}{S}\d{{4}}|1{S}\d{{3}}.*")
 _D = r"[\-‐-–. ]"
-ID_FORMS = (
-    ("nir", re.compile(r"(?<![\w.\-+])\d(?: ?\d{2}){3} ?\d{3} ?\d{3} ?\d{2}(?![\w\-])")),
-    ("ssn", re.compile(rf"(?<![\w.\-+])\d{{3}}{_D}?\d{{2}}{_D}?\d{{4}}(?![\w\-])")),
-    ("long", re.compile(r"(?<![\w.\-+])\d{3}-\d{4}-\d{5}(?![\w\-])")),
-    ("steuer", re.compile(r"(?<![\w.\-+])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w\-])")),
-    ("dni", re.compile(r"(?<![\w.\-+])\d{2}\.?\d{3}\.?\d{3}(?:[- ]?[A-Z]|-?[a-z])(?![\w\-])")),
-    ("nie", re.compile(r"(?<![\w.\-+])[XYZxyz][- ]?\d{7}[- ]?[A-Za-z](?![\w\-])")),
-    ("passport", re.compile(r"(?<![\w.\-+])[A-Za-z]{1,2} ?\d{6,8}(?![\w\-])")),
-    ("nino", re.compile(r"(?<![\w.\-+])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d](?![\w\-])")),
+ID_FORM = re.compile(
+    r"(?:(?P<nir>\d(?: ?\d{2}){3} ?\d{3} ?\d{3} ?\d{2})"
+    rf"|(?P<ssn>\d{{3}}{_D}?\d{{2}}{_D}?\d{{4}})"
+    r"|(?P<long>\d{3}-\d{4}-\d{5})"
+    r"|(?P<steuer>\d{2} ?\d{3} ?\d{3} ?\d{3})"
+    r"|(?P<dni>\d{2}\.?\d{3}\.?\d{3}(?:[- ]?[A-Z]|-?[a-z]))"
+    r"|(?P<nie>[XYZxyz][- ]?\d{7}[- ]?[A-Za-z])"
+    r"|(?P<passport>[A-Za-z]{1,2} ?\d{6,8})"
+    r"|(?P<nino>[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d]))(?![\w\-])"
 )
+#: Where one of the forms may begin: all have six digits with at most one separator between two.
+ID_START = re.compile(r"(?<![\w.\-+])(?=[A-Za-z]{0,2}[ \-]?\d(?:[\-‐-–. ]?\d){5})")
 ID_LABELLED = re.compile(
     rf"(?<![\p{{L}}\p{{N}}])(?:{ID_CUE}){ID_TAIL}([A-Za-z]{{0,3}}[ \-]?\d(?:[A-Za-z0-9]|[ .\-‐-–/](?=\d)){{4,20}}(?:[ \-]?[A-Za-z](?![\p{{L}}\p{{N}}]))?)", _F
 )
+#: Words, or parts of words, of which every cue of an identity number has one.
+ID_WORDS = frozenset(
+    """ssn social soc sociale passport passeport pasaporte document nir seguridad tax taxpayer tin national identity id dni nie nif documento
+    nino ni driver drivers driver's driving паспорт инн снилс""".split()
+)
+ID_PARTS = ("teuer", "TEUER", "ersonal", "ERSONAL", "usweis", "USWEIS", "eisepass", "EISEPASS", "マイナンバー", "個人番号", "旅券番号", "パスポート")
 BEFORE_ID = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{ID_CUE}){ID_TAIL}$", _F)
 BEFORE_PHONE = re.compile(rf"(?<![\p{{L}}])(?:{PHONE_CUE})\.?(?: is| ist| es|は|\(|[:：=.<>\s\"'])*$", _F)
-AFTER_PHONE = re.compile(r"^\)?\s?(?:\((?:office|mobile|home|cell|fax|work|vormittags|privat|bureau)|ext\b|です|did not pick|works too|after|text first)", _F)
-BEFORE_OTHER = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{NOT_PERSONAL})[ :=#]*(?:is |says |no\.? )?$|[A-Za-z]{{2,}}\d*[:/=]$|[#v_]$", _F)
+AFTER_PHONE = re.compile(r"^\)?\s?(?:\((?:office|mobile|home|cell|fax|work|privat|bureau|dienstlich|oficina)|ext\b|です|after|before|between|or\b)", _F)
+BEFORE_OTHER = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{NOT_PERSONAL})[ :=#]*(?:(?:is|was|says|reads|no\.?) )?$|[A-Za-z]{{2,}}\d*[:/=]$|[#v_]$", _F)
 DATE_OR_IP = re.compile(r"(?:19|20)\d\d[\-/.]\d\d?[\-/.]\d\d?(?:[ T]\d.*)?|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,4}|\d+(?:\.\d+){2,}|\d+[-–]\d+|\d+\.\d+")
 FIELD = re.compile(r"[\"'<\[(]?(?:ssn|id|passport|dni|tax)[\w\-]*[\"'>\])]?\s*[:=>]\s*[\"'`]?$", _F)
 _NUM = r"\d{1,5}(?:(?: ?[-–] ?)\d{1,5})?(?: ?[A-Za-z](?![\p{L}\p{N}'’.]))?"
@@ -140,13 +156,33 @@ LABEL_WITHOUT_POINT = re.compile(r"(?:address|住所|anschrift|adresse|direcció
 _TOKEN = rf"{_WORD}+(?:['’]{_WORD}+)*(?:-{_WORD}+(?:['’]{_WORD}+)*)*"
 _FAMILY = rf"(?:(?:{PARTICLE}) )?{_TOKEN}"
 _KANJI = r"[一-鿿々]"
-TOKENS = re.compile(rf"{_TOKEN}")
+TOKENS = stdre.compile(_TOKEN)
 INITIAL = re.compile(rf"{_WORD}\.", _F)
 PERSON_GIVEN_FIRST = re.compile(rf"({_TOKEN})((?: {_WORD}\.)?) ((?:(?:{PARTICLE}) )?)({_TOKEN})")
 AFTER_PERSON = re.compile(rf"^[,.]?\s?(?:{PERSON_AFTER})", _F)
 KANJI_NAME = re.compile(rf"(?<!{_KANJI})({_KANJI}{{1,4}})[ 　]({_KANJI}{{1,3}})(?!{_KANJI})|(?<!{_KANJI})({_KANJI}{{3,6}})(?=さん|氏|様|です。よろしく)|(?<=担当[:：]\s?)({_KANJI}{{3,6}})(?!{_KANJI})")
 
 
+DOTTED = re.compile(r"dot|punkt|punto|point", _F)
+TLD = re.compile(r"[A-Za-z0-9]+$")
+BEFORE_EMAIL = re.compile(
+    r"(?:mailto:|mail\w*|contact|kontakt|correo|courriel|e-?mail|メール|почта|cc|bounced|reach|write|schreib\w*|écriv\w*|escríbe\w*|to|under|with|an|by|from|owner|notify|user)"
+    r"\W{0,6}(?:me |mir |moi )?(?:at |an |à |a |is )?\W{0,3}$|<$", _F
+)
+CODE_BEFORE = re.compile(r"[\])=]\s?$")
+ANY_DIGIT = re.compile(r"\d")
+DIGITS = re.compile(r"\d(?:[^\p{L}\n]?\d){5}")
+HOUSE = re.compile(r"(?<![\p{L}\p{N}.,\-/])\d{1,5}(?=[ ,\-–A-Za-z])")
+GERMAN_STREET = re.compile(rf"(?:{GERMAN_TAIL}|\b(?:am|an der|im|auf dem|zum|zur) \p{{L}}+(?: \p{{L}}+)?) \d", _F)
+#: Parts of every German or Spanish street; a text without any is not searched for them.
+GERMAN_HINTS = tuple(x.replace("\\", "") + " " for x in [*GERMAN_TAIL.split("|"), "am", "an der", "im", "auf dem", "zum", "zur"])
+SPANISH_HINTS = ("calle", "c/", "avenida", "avda", "av.", "plaza", "pl.", "paseo", "pº", "camino", "carretera", "ronda", "travesía")
+LAST_WORD, NEXT_WORD = re.compile(r"(\S+)\s*$"), re.compile(r"\s*(\S+)")
+GERMAN_PLACE = re.compile(rf"(?:{GERMAN_TAIL}|markt|bach|hof|feld|wald|see|park|tor|hang|graben)$", _F)
+STREET_NAME_HEAD = re.compile(r"^(?:(?:de la|de los|de las|du|des|del|de) |(?:de l|d)['’] ?)", _F)
+AFTER_HOUSE = re.compile(r"\d[A-Za-z]? $")
+
+
 @dataclass
 class Lexicon:
     """What a pass over the corpus learned about words (all in casefold)."""
@@ -156,26 +192,40 @@ class Lexicon:
     common: frozenset = frozenset()
 
 
-@dataclass
+@dataclass(slots=True)
 class Span:
+    """``masked``: votes and features of the same span as if its names were in no gazetteer; the
+    classifier is trained on both. ``scored``: the votes it sees (``votes`` where left out)."""
+
     kind: str
     start: int
     end: int
     form: str
     votes: tuple
-    features: tuple = field(default=())
+    features: tuple = ()
+    masked: tuple | None = None
+    scored: tuple | None = None
 
 
 def _last_word(s: str) -> str:
-    m = re.search(r"(\S+)\s*$", s)
+    m = LAST_WORD.search(s)
     return m.group(1).casefold()[-16:] if m else "^"
 
 
 def _next_word(s: str) -> str:
-    m = re.match(r"\s*(\S+)", s)
+    m = NEXT_WORD.match(s)
     return m.group(1).casefold()[:16] if m else "$"
 
 
+def _context(t: str, a: int, b: int) -> tuple:
+    """The two words on each side, and whether the span begins or ends its line."""
+    before, after = t[max(0, a - 40) : a], t[b : b + 32]
+    left, right = before[before.rfind("\n") + 1 :].split(), after.split("\n", 1)[0].split()
+    left, right = [x.casefold()[-16:] for x in left[-2:]] or ["^"], [x.casefold()[:16] for x in right[:2]] or ["$"]
+    glued = not after[:1].isspace()
+    return f"prev={left[-1]}", f"prev2={' '.join(left)}", f"next={right[0]}", f"next2={' '.join(right)}", f"line={left[-1] == '^'}{right[0] == '$'}{glued}"
+
+
 def _trim_brackets(t: str, a: int, b: int) -> tuple[int, int]:
     if t[a] == "(" and ")" not in t[a:b]:
         a += 1
@@ -195,35 +245,36 @@ def _emails(t: str, out: list[Span]) -> None:
         for m in pat.finditer(t):
             a, b = m.span()
             s = t[a:b]
-            if form == "words" and " at " in s.casefold() and not re.search(r"dot|punkt|punto|point", s, _F):
+            if form == "words" and " at " in s.casefold() and not DOTTED.search(s):
                 continue
             if any(x < b and a < y for x, y in seen):
                 continue
             while s[-1] in ".-":
                 s, b = s[:-1], b - 1
             seen.append((a, b))
-            tld = re.search(r"[A-Za-z0-9]+$", s)
+            tld = TLD.search(s)
             tld = tld.group(0) if tld else ""
             before, after = t[max(0, a - 40) : a], t[b : b + 12]
             good = 1 if len(tld) >= 2 and tld.isalpha() else -1
-            cue = 1 if re.search(r"(?:mailto:|mail\w*|contact|kontakt|correo|courriel|e-?mail|メール|почта|cc|bounced|reach|write|schreib\w*|écriv\w*|escríbe\w*|to|under|with|an|by|from|owner|notify|user)\W{0,6}(?:me |mir |moi )?(?:at |an |à |a |is )?\W{0,3}$|<$", before, _F) else 0
-            code = -1 if re.search(r"[\])=]\s?$", before) and form == "spaced" and " @ " in s and s.count(".") < 2 else (-1 if "://" in before[-30:] and not re.search(r"\s", before[before.rfind("://") :]) else 0)
+            cue = 1 if BEFORE_EMAIL.search(before) else 0
+            code = -1 if CODE_BEFORE.search(before) and form == "spaced" and " @ " in s and s.count(".") < 2 else (-1 if "://" in before[-30:] and len(before[before.rfind("://") :].split()) < 2 and not before[-1:].isspace() else 0)
             out.append(Span("email", a, b, form, (1 if form != "spaced" or " ." in s or s.count(".") > 1 else 0, good, cue, code), (f"tld={tld.casefold()}",)))
 
 
-def _numbers(t: str, out: list[Span]) -> None:
+def _numbers(t: str, out: list[Span], words: frozenset) -> None:
     ids: dict[tuple[int, int], str] = {}
-    for form, pat in ID_FORMS:
-        for m in pat.finditer(t):
-            ids.setdefault(m.span(), form)
-    for m in ID_LABELLED.finditer(t):
+    for at in ID_START.finditer(t):
+        if m := ID_FORM.match(t, at.start()):
+            ids.setdefault(m.span(), m.lastgroup)
+    labelled = not words.isdisjoint(ID_WORDS) or any(x in t for x in ID_PARTS)
+    for m in ID_LABELLED.finditer(t) if labelled else ():
         a, b = m.span(1)
         inside = [(x, y) for x, y in ids if x >= a and y <= b or (x == a)]
         if not inside and sum(c.isdigit() for c in t[a:b]) >= 6:
             ids[(a, b)] = "labelled"
     for (a, b), form in ids.items():
         before, after = t[max(0, a - 48) : a], t[b : b + 16]
-        cue = bool(BEFORE_ID.search(before))
+        cue = labelled and bool(BEFORE_ID.search(before))
         phone = bool(BEFORE_PHONE.search(before) or AFTER_PHONE.search(after))
         other = bool(BEFORE_OTHER.search(before)) and not cue
         fld = bool(FIELD.search(before))
@@ -239,62 +290,67 @@ def _numbers(t: str, out: list[Span]) -> None:
             continue
         before, after = t[max(0, a - 48) : a], t[b : b + 20]
         cue = bool(BEFORE_PHONE.search(before) or AFTER_PHONE.search(after))
-        id_cue = bool(BEFORE_ID.search(before))
+        id_cue = labelled and bool(BEFORE_ID.search(before))
         if id_cue and not cue:
             continue  # an identity number by its label
         other = bool(BEFORE_OTHER.search(before)) and not cue
         odd = bool(DATE_OR_IP.fullmatch(s)) and not cue
         layout = bool(PHONE_LAYOUT.fullmatch(s))
         strong = layout and bool(STRONG_LAYOUT.fullmatch(s))
-        if re.match(r"[A-Za-z_]", after) and not re.match(r"\s", after):
+        if after[:1].isascii() and (after[:1].isalpha() or after[:1] == "_"):
             odd = True
         votes = (1 if strong else (0 if layout else -1), 1 if cue else (0 if strong else -1), 1 if 10 <= n <= 13 else 0, -1 if id_cue else 0, -1 if other or odd else 0)
         out.append(Span("phone", a, b, "strong" if strong else "layout" if layout else "run", votes, (f"strong={strong}", f"n={n}", f"cue={cue}", f"prev={_last_word(before)}")))
 
 
 def _addresses(t: str, out: list[Span]) -> None:
-    for form, pat in (("en", ADDRESS_EN), ("fr", ADDRESS_FR), ("es", ADDRESS_ES), ("de", ADDRESS_DE)):
-        for m in pat.finditer(t, overlapped=(form == "en")):
-            a, b = m.span()
-            s = t[a:b]
-            before = t[max(0, a - 40) : a]
-            if form == "en":
-                words = [w.strip(".").casefold() for w in m.group(3).split()]
-                kind = m.group(4)
-                if not words or any(w in FUNCTION_WORDS or w in ("bis", "ter", "quater") for w in words):
-                    continue
-                if m.group(5) and m.group(5).strip(" .").casefold() in ("e", "w", "s", "n") and not m.group(5).strip(" .").isupper():
-                    b = m.end(4)
-                    s = t[a:b]
-                name = "".join(m.group(3).split())
-                styled = name[:1].isupper() or m.group(4)[:1].islower()
-                if s.endswith(".") and b == m.end(4):
-                    rest = t[b : b + 2]
-                    ends = not rest.strip() or (rest[:1].isspace() and (rest[1:2].isupper() or not rest[1:2].isalnum()))
-                    if rest[:1] in "\r\n" or ends:
-                        if not LABEL_WITHOUT_POINT.search(before):
-                            b -= 1
-                    if kind.strip(".").casefold() in ("street", "avenue", "road", "lane", "drive", "court", "boulevard", "square", "terrace", "crescent", "close", "way", "row", "place") and t[b - 1] == ".":
+    found = [(form, m) for at in HOUSE.finditer(t) for form, pat in (("en", ADDRESS_EN), ("fr", ADDRESS_FR)) if (m := pat.match(t, at.start()))]
+    low = t.casefold()
+    if any(x in low for x in SPANISH_HINTS):
+        found += [("es", m) for m in ADDRESS_ES.finditer(t)]
+    if any(x in low for x in GERMAN_HINTS) and GERMAN_STREET.search(t):
+        found += [("de", m) for m in ADDRESS_DE.finditer(t)]
+    for form, m in found:
+        a, b = m.span()
+        s = t[a:b]
+        before = t[max(0, a - 40) : a]
+        if form == "en":
+            words = [w.strip(".").casefold() for w in m.group(3).split()]
+            kind = m.group(4)
+            if not words or any(w in FUNCTION_WORDS or w in ("bis", "ter", "quater") for w in words):
+                continue
+            if m.group(5) and m.group(5).strip(" .").casefold() in ("e", "w", "s", "n") and not m.group(5).strip(" .").isupper():
+                b = m.end(4)
+                s = t[a:b]
+            name = "".join(m.group(3).split())
+            styled = name[:1].isupper() or m.group(4)[:1].islower()
+            if s.endswith(".") and b == m.end(4):
+                rest = t[b : b + 2]
+                ends = not rest.strip() or (rest[:1].isspace() and (rest[1:2].isupper() or not rest[1:2].isalnum()))
+                if rest[:1] in "\r\n" or ends:
+                    if not LABEL_WITHOUT_POINT.search(before):
                         b -= 1
-            elif form == "de":
-                words = [w.casefold() for w in m.group(1).split()]
-                styled = m.group(1)[:1].isupper()
-                if words[0] in FUNCTION_WORDS and words[0] not in ("am", "im", "an", "auf", "zum", "zur"):
-                    continue
-                if words[0] in ("am", "im", "an", "auf", "zum", "zur") and not re.search(rf"(?:{GERMAN_TAIL}|markt|bach|hof|feld|wald|see|park|tor|hang|graben)$", words[-1], _F):
-                    continue
-            else:
-                name = re.sub(r"^(?:(?:de la|de los|de las|du|des|del|de) |(?:de l|d)['’] ?)", "", m.group(2 if form == "fr" else 1), flags=_F)
-                styled = name[:1].isupper() or s.islower()
-                if form == "fr" and not styled:
-                    continue
-            cue = bool(BEFORE_ADDRESS.search(before))
-            tail = bool(AFTER_ADDRESS.search(t[b : b + 24]))
-            if re.match(r"[\p{L}\p{N}]", t[b : b + 1]):
+                if kind.strip(".").casefold() in ("street", "avenue", "road", "lane", "drive", "court", "boulevard", "square", "terrace", "crescent", "close", "way", "row", "place") and t[b - 1] == ".":
+                    b -= 1
+        elif form == "de":
+            words = [w.casefold() for w in m.group(1).split()]
+            styled = m.group(1)[:1].isupper()
+            if words[0] in FUNCTION_WORDS and words[0] not in ("am", "im", "an", "auf", "zum", "zur"):
                 continue
-            nwords = len(s.split())
-            votes = (1 if form != "en" or len(m.group(4)) > 2 else 0, 1 if cue else -1, 1 if styled else 0, 1 if nwords >= 2 else 0, 1 if tail else -1)
-            out.append(Span("address", a, b, form, votes, (f"form={form}", f"cue={cue}", f"tail={tail}", f"styled={styled}", f"prev={_last_word(before)}")))
+            if words[0] in ("am", "im", "an", "auf", "zum", "zur") and not GERMAN_PLACE.search(words[-1]):
+                continue
+        else:
+            name = STREET_NAME_HEAD.sub("", m.group(2 if form == "fr" else 1))
+            styled = name[:1].isupper() or s.islower()
+            if form == "fr" and not styled:
+                continue
+        cue = bool(BEFORE_ADDRESS.search(before))
+        tail = bool(AFTER_ADDRESS.search(t[b : b + 24]))
+        if t[b : b + 1].isalnum():
+            continue
+        nwords = len(s.split())
+        votes = (1 if form != "en" or len(m.group(4)) > 2 else 0, 1 if cue else -1, 1 if styled else 0, 1 if nwords >= 2 else 0, 1 if tail else -1)
+        out.append(Span("address", a, b, form, votes, (f"form={form}", f"cue={cue}", f"tail={tail}", f"styled={styled}", f"prev={_last_word(before)}")))
 
 
 def _style(w: str) -> str:
@@ -305,7 +361,7 @@ def _style(w: str) -> str:
 
 
 def _parts(token: str) -> list[str]:
-    return [p for p in re.split(r"[-]", token.casefold()) if p]
+    return [p for p in token.casefold().split("-") if p]
 
 
 def _in(token: str, words: frozenset) -> bool:
@@ -315,31 +371,58 @@ def _in(token: str, words: frozenset) -> bool:
 def _person_span(t: str, a: int, b: int, form: str, given: str, family: str, lex: Lexicon, out: list[Span], cues: set) -> None:
     before, after = t[max(0, a - 32) : a], t[b : b + 16]
     cue, follows = a in cues, bool(AFTER_PERSON.search(after))
-    in_given = given == "" or given.casefold() in lex.given
-    in_family = _in(family, lex.family)
-    common = _in(family, lex.common) and not in_family or (bool(given) and given.casefold() in lex.common and not in_given)
-    common = common or family.casefold() in FUNCTION_WORDS
-    known = (1 if given.casefold() in lex.given else -1) if given else 0
+    g, f = given.casefold(), family.casefold()
+    in_given, in_family = not given or g in lex.given, _in(family, lex.family)
+    plain = _in(family, lex.common) or g in lex.common or f in FUNCTION_WORDS  # as if the names were in no gazetteer
+    common = _in(family, lex.common) and not in_family or (bool(given) and g in lex.common and not in_given) or f in FUNCTION_WORDS
+    known = (1 if g in lex.given else -1) if given else 0
     shape = 1 if _style(family) != "l" and (not given or _style(given) == _style(family) or len(given) == 1) else 0
-    votes = (1 if cue else 0, 1 if follows else 0, known, 1 if in_family else 0, -1 if common else 1, shape)
-    tail = family.casefold()
-    out.append(
-        Span("person", a, b, form, votes, (f"form={form}", f"g={given.casefold()}", f"e4={tail[-4:]}", f"s3={tail[:3]}", f"prev={_last_word(before)}", f"next={_next_word(after)}", f"style={_style(family)}"))
-    )
+    said, seen = (1 if cue else 0, 1 if follows else 0), g in lex.given or in_family
+    context = (f"form={form}", *_context(t, a, b), f"style={_style(family)}", f"cue={cue}{follows}", f"space={before[-1:].isspace()}")
+    votes = (*said, known, 1 if in_family else 0, -1 if common else 1, shape)
+    unseen = (*said, 0, 0, -1 if plain else 1, shape), ("unseen", *context, f"common={plain}")
+    if seen:
+        full = (*context, f"common={common}", f"g={g}", f"e4={f[-4:]}", f"s3={f[:3]}")
+        out.append(Span("person", a, b, form, votes, full, unseen))
+    else:
+        out.append(Span("person", a, b, form, votes, unseen[1], None, unseen[0]))
+
+
+_WORDS_OR_INITIALS = stdre.compile(rf"(?<![^\W_])(?:{_TOKEN}|{_WORD}\.)")
+BEFORE_PERSON = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{PERSON_CUE})\s?[\"'`]?$", _F)
+#: Words that a cue of a person ends in, before a blank or before other signs; only after one of them, or
+#: after two hyphens, is the cue's pattern tried.
+CUE_ENDS = frozenset(
+    """by as cc ask contact laut según d'après d’après selon frau herr herrn señora señor doctora doctor professor patient patientin met called
+    emailed contacted asked told thank regards wishes best спросите à a dr prof mr mrs ms mx mme mlle sra sr""".casefold().split()
+) | frozenset(x for r in ROLE.replace("u?r", "r|neighbour").replace("[oa]", "o").split("|") for x in (r, r[:-1] + "a" if r[-2:] in ("ro", "go") else r))
+CUE_ENDS_SIGN = frozenset(
+    """thanks you regards wishes cheers best sincerely cc from to by author maintainer contact owner name signed-off-by co-authored-by reported-by
+    saludos grüße grüßen cordialement 担当 автор уважением assignee user operator reviewer submitter""".casefold().split()
+)
 
 
-_WORDS_OR_INITIALS = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{_TOKEN}|{_WORD}\.)")
-_CUES = re.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{PERSON_CUE})\s?[\"'`]?", _F)
 #: Fixed: words that come before a name with a comma or a space and are no part of it.
-GREETINGS = frozenset("thanks cheers grüße grüßen saludos wishes best regards cordialement greetings sincerely уважением merci gracias danke hi hello dear hallo bonjour hola laut según selon as ask patient patientin cc by from frau herr herrn doctora doctor professor prof dr mr mrs ms mx mme viele patiente".casefold().split())
+GREETINGS = frozenset(
+    """thanks cheers grüße grüßen saludos wishes best regards cordialement greetings sincerely уважением merci gracias danke hi hello dear
+    hallo bonjour hola laut según selon as ask patient patientin cc by from frau herr herrn doctora doctor professor prof dr mr mrs ms mx
+    mme viele patiente met called emailed contacted asked told thank""".casefold().split()
+) | CUE_ENDS - {"a", "à"} | CUE_ENDS_SIGN
 _KANA_OR_KANJI = re.compile(_KANJI + r"|[぀-ヿ]")
+_HAS_KANJI, _KANJI_RUN = re.compile(_KANJI), re.compile(_KANJI + "{2,7}")
 _PARTICLES = frozenset(PARTICLE.split("|"))
 
 
-def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
-    toks = [(m.start(), m.end(), m.group(0)) for m in _WORDS_OR_INITIALS.finditer(t)]
+def _persons(t: str, lex: Lexicon, out: list[Span], toks: list[tuple[int, int, str]], lowered: list[str]) -> None:
     n = len(toks)
-    cues = {m.end() for m in _CUES.finditer(t)}
+    cues = set()
+    for i, (a, _, w) in enumerate(toks):
+        end = toks[i - 1][1] if i else 0
+        last = lowered[i - 1] if i else ""
+        tried = last in CUE_ENDS if t[end : end + 1] == " " else last in CUE_ENDS_SIGN or last in CUE_ENDS
+        if (tried or t[max(0, a - 3) : a].rstrip(" ")[-2:] == "--") and BEFORE_PERSON.search(t[max(0, a - 40) : a]):
+            cues.add(a)
+    given, family = lex.given, lex.family
 
     def gap(i: int) -> str:
         return t[toks[i][1] : toks[i + 1][0]] if i + 1 < n else "\n"
@@ -350,20 +433,18 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
     def family_at(i: int) -> int:
         """Index after a family name (with particles) that begins at token i, or 0."""
         j = i
-        while j < n and toks[j][2].casefold() in _PARTICLES and gap(j) == " " and j - i < 2:
+        while j < n and lowered[j] in _PARTICLES and gap(j) == " " and j - i < 2:
             j += 1
-        if j < n and len(toks[j][2]) >= 2 and toks[j][2].casefold() not in FUNCTION_WORDS:
+        if j < n and len(toks[j][2]) >= 2 and lowered[j] not in FUNCTION_WORDS:
             return j + 1
         return 0
 
-    lowered = [w if w.isascii() and w.islower() else w.casefold() for _, _, w in toks]
-    given = lex.given
-    for i in range(n):
-        a, b, w = toks[i]
+    # ordinary lower-case words begin no name, unless they are names, come before one, or follow a cue
+    for i, (a, b, w) in enumerate(toks):
         cf = lowered[i]
         known = cf in given
-        if not known and not w[0].isupper() and a not in cues and t[b : b + 1] != "," and not (len(w) == 1 and t[b : b + 1] == ".") and (i + 1 == n or lowered[i + 1] not in given):
-            continue  # an ordinary lower-case word
+        if cf is w and not known and cf not in family and not (i + 1 < n and lowered[i + 1] in given) and len(w) > 1 and a not in cues:
+            continue
         if cf in FUNCTION_WORDS and not initial(i) or _KANA_OR_KANJI.match(w):
             continue
         style = _style(w)
@@ -375,7 +456,7 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
             e = family_at(j)
             if e and (e == j + 1 or gap(j) == " "):
                 fam = toks[e - 1][2]
-                if (known or style != "l" or a in cues) and (_style(fam) == style or known and (style, _style(fam)) != ("T", "l") or _in(fam, lex.family)):
+                if (known or style != "l" or a in cues) and (_style(fam) == style or known and (style, _style(fam)) != ("T", "l") or _in(fam, family)):
                     _person_span(t, a, toks[e - 1][1], "gf" if e == j + 1 else "gpf", w, fam, lex, out, cues)
         # I. [I.] [particle] Family
         if initial(i) and t[b : b + 2] == ". ":
@@ -383,52 +464,58 @@ def _persons(t: str, lex: Lexicon, out: list[Span]) -> None:
             if initial(j) and t[toks[j][1] : toks[j][1] + 2] == ". ":
                 j += 1
             e = family_at(j)
-            house = i and re.search(r"\d[A-Za-z]? $", t[max(0, a - 4) : a])
-            if e and not house and (i == 0 or not (toks[i - 1][2].casefold() in lex.given and t[toks[i - 1][1] : a] == " ")):
+            house = i and AFTER_HOUSE.search(t[max(0, a - 4) : a])
+            if e and not house and (i == 0 or not (lowered[i - 1] in given and t[toks[i - 1][1] : a] == " ")):
                 fam = toks[e - 1][2]
-                if _style(fam) != "l" or _in(fam, lex.family) or a in cues:
+                if _style(fam) != "l" or _in(fam, family) or a in cues:
                     _person_span(t, a, toks[e - 1][1], "if", "", fam, lex, out, cues)
         # Family, Given and Family, I.
-        if gap(i) == ", " and len(w) >= 3 and i + 1 < n and cf not in GREETINGS and cf not in lex.given:
+        if len(w) >= 3 and i + 1 < n and gap(i) == ", " and cf not in GREETINGS and not known:
             start = a
-            if i and toks[i - 1][2].casefold() in _PARTICLES and t[toks[i - 1][1] : a] == " " and (_in(w, lex.family) or toks[i - 1][0] in cues):
+            if i and lowered[i - 1] in _PARTICLES and t[toks[i - 1][1] : a] == " " and (_in(w, family) or toks[i - 1][0] in cues):
                 start = toks[i - 1][0]
             g = toks[i + 1][2]
             if initial(i + 1):
-                if style != "l" or _in(w, lex.family) or start in cues:
-                    end = toks[i + 1][1] + 1
-                    _person_span(t, start, end, "f,i", "", w, lex, out, cues)
-            elif g.casefold() in lex.given and (style == _style(g) or _in(w, lex.family)):
+                if style != "l" or _in(w, family) or start in cues:
+                    _person_span(t, start, toks[i + 1][1] + 1, "f,i", "", w, lex, out, cues)
+            elif lowered[i + 1] in given and (style == _style(g) or _in(w, family)):
+                _person_span(t, start, toks[i + 1][1], "f,g", g, w, lex, out, cues)
+            elif start in cues and style != "l" and style == _style(g) and lowered[i + 1] not in FUNCTION_WORDS:
                 _person_span(t, start, toks[i + 1][1], "f,g", g, w, lex, out, cues)
         # Family Given
-        if gap(i) == " " and i + 1 < n and toks[i + 1][2].casefold() in lex.given and _in(w, lex.family) and cf not in lex.given:
+        if not known and i + 1 < n and gap(i) == " " and lowered[i + 1] in given and _in(w, family):
             _person_span(t, a, toks[i + 1][1], "fg", toks[i + 1][2], w, lex, out, cues)
-    if re.search(_KANJI, t):
+    if _HAS_KANJI.search(t):
         for m in KANJI_NAME.finditer(t):
             whole = m.group(0)
             core = m.group(1), m.group(2)
             fam, giv = (core if core[0] else (whole[:-2], whole[-2:]))
             _person_span(t, m.start(), m.end(), "kanji", giv, fam, lex, out, cues)
-        for m in re.finditer(_KANJI + "{2,7}", t):
+        for m in _KANJI_RUN.finditer(t):
             run = m.group(0)
+            if m.start() in cues and 3 <= len(run) <= 6:
+                _person_span(t, m.start(), m.end(), "kanji", run[-2:], run[:-2], lex, out, cues)
             for k in range(1, len(run)):
-                if run[:k] in lex.family and run[k:] in lex.given:
+                if run[:k] in family and run[k:] in given:
                     _person_span(t, m.start(), m.end(), "kanji", run[k:], run[:k], lex, out, cues)
 
 
 def find_spans(t: str, lex: Lexicon) -> list[Span]:
     """All candidates of a text, overlapping ones included."""
     out: list[Span] = []
+    toks = [(m.start(), m.end(), m.group()) for m in _WORDS_OR_INITIALS.finditer(t)]
+    lowered = [w if w.isascii() and w.islower() else w.casefold() for _, _, w in toks]
     _emails(t, out)
-    if re.search(r"\d", t):
-        _numbers(t, out)
+    if DIGITS.search(t):
+        _numbers(t, out, frozenset(lowered))
+    if ANY_DIGIT.search(t):
         _addresses(t, out)
-    _persons(t, lex, out)
+    _persons(t, lex, out, toks, lowered)
     return out
 
 
 STRONG_PERSON = re.compile(
-    rf"(?<![\p{{L}}\p{{N}}])(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme)\. |Frau |Herr |Patient |Thanks, |cc: |Author: |Maintainer: |[Cc]ontact: |Signed-off-by: |Laut |Según |D'après |Demandez à |Saludos, |Viele Grüße, |script from |La doctora |Ask |-- |Автор: |С уважением, |Спросите, )"
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme)\. |Frau |Herr |Patient |Thanks, |cc: |Author: |Maintainer: |[Cc]ontact: |Signed-off-by: |Laut |Según |D'après |Demandez à |Saludos, |Viele Grüße, |La doctora |Ask |-- |Автор: |С уважением, |Спросите, )"
     rf"({_TOKEN})(?: {_WORD}\.)? (?:(?:{PARTICLE}) )?({_TOKEN})"
 )
 STRONG_KANJI = re.compile(rf"(?<!{_KANJI})({_KANJI}{{1,4}})[ 　]({_KANJI}{{1,3}})(?=さん|氏|様|です。よろしく)|(?<=担当[:：]\s?)({_KANJI}{{1,4}})[ 　]({_KANJI}{{1,3}})(?!{_KANJI})")
@@ -446,5 +533,16 @@ def name_evidence(t: str) -> tuple[set, set, set]:
     for m in STRONG_KANJI.finditer(t):
         family.add(m.group(1) or m.group(3))
         given.add(m.group(2) or m.group(4))
-    words = {m.group(0).casefold() for m in TOKENS.finditer(t)}
-    return given, family, words
+    return given, family, set(map(str.casefold, TOKENS.findall(t)))
+
+
+def looked_up(t: str) -> set:
+    """Every word of a text that the search looks up in a gazetteer, in casefold."""
+    words = {m.group().casefold().rstrip(".") for m in _WORDS_OR_INITIALS.finditer(t)}
+    words |= {p for w in words if "-" in w for p in w.split("-")}
+    for m in KANJI_NAME.finditer(t):
+        words |= {x for x in (*m.groups(), m.group(0)[:-2], m.group(0)[-2:]) if x}
+    for m in _KANJI_RUN.finditer(t):
+        run = m.group(0)
+        words |= {x for k in range(1, len(run)) for x in (run[:k], run[k:])}
+    return words

@@ -1,9 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
 
 from cpgloom.llm import pii_spans
-from cpgloom.llm.pii import aggregate_votes, find_personal_data, fit, redact_documents
-from cpgloom.llm.pii_spans import Lexicon, find_spans
+from cpgloom.llm.pii import _pack, aggregate_votes, candidates, choose, find_personal_data, fit, learn_words, redact_documents
+from cpgloom.llm.pii_spans import TOKENS, Lexicon, find_spans
 
 SF = "/root/testdata/sf0.1"
 
@@ -49,6 +51,60 @@ def test_tables(spark, model):
     assert out == sorted([(1, "<EMAIL> and <EMAIL>", 2), (1, "<EMAIL> and <EMAIL>", 2), (2, None, 0), (3, "", 0), (None, "Call me on <PHONE>.", 1)], key=str)
 
 
+def _held(word):
+    return zlib.crc32(word.casefold().encode()) % 3 == 0
+
+
+def _name_parts(surface):
+    words = [w.casefold() for w in TOKENS.findall(surface) if len(w) > 1 and w.casefold() not in pii_spans._PARTICLES]
+    return [p for w in words for p in w.split("-")]
+
+
+def test_unseen_names_are_found_by_their_context(spark, model):
+    """A third of all name words is held out: no text with one of them is learned from, and the names tested
+    consist of nothing else. The votes alone miss many of them; the classifier decides."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    named = {}
+    for r in find_personal_data(docs, model).where("kind = 'person'").collect():
+        named.setdefault(r["doc_id"], set()).add(r["surface"])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    tested = {d: {x for x in xs if _name_parts(x) and all(map(_held, _name_parts(x)))} for d, xs in named.items()}
+    learned = [(d, t) for d, t in texts.items() if not any(map(_held, (p for x in named.get(d, ()) for p in _name_parts(x))))]
+    other = fit(spark.createDataFrame(learned, "doc_id long, text string"))
+    lex = other.words.lexicon
+    n = hit = by_votes = wrong = 0
+    for d, xs in tested.items():
+        if xs:
+            assert not any(p in lex.given or p in lex.family for x in xs for p in _name_parts(x))
+            t = texts[d]
+            got = {t[s.start : s.end] for s in other.decide(t) if s.kind == "person"}
+            voted = {t[s.start : s.end] for s in find_spans(t, lex) if s.kind == "person" and other.patterns.get((s.kind, _pack(s.votes)), 0) >= 0.5}
+            n, hit, by_votes, wrong = n + len(xs), hit + len(xs & got), by_votes + len(xs & voted), wrong + len(got - named[d])
+    print(f"unseen names: {n}, found {hit}, by votes alone {by_votes}, wrong {wrong}")
+    assert n > 60 and hit >= 0.9 * n and hit > by_votes and wrong <= 0.05 * n
+
+
+def test_a_large_gazetteer_is_joined(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id % 3 < 2")
+    docs = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(None, None), (1, "")], docs.schema))
+    sent, joined = learn_words(docs), learn_words(docs, broadcast_names=0)
+    assert sent.names is None and joined.names is not None and joined.names.count() > 0 and not joined.lexicon.given
+    rows = lambda w: sorted(map(str, candidates(docs, w).collect()))
+    assert rows(sent) == rows(joined)
+
+
+def test_overlaps_go_to_the_better_span():
+    p, kinds = np.array([0.9, 0.9, 0.4, 0.95, 0.6]), ["phone", "email", "person", "person", "person"]
+    assert choose(p, kinds, [0, 0, 5, 20, 18], [10, 10, 8, 25, 22]) == [1, 3]
+    assert choose(np.zeros(0), [], [], []) == []
+
+
+def test_a_long_local_part_is_whole():
+    out, t = [], f"write {'a' * 200}@lab.example now"
+    pii_spans._emails(t, out)
+    assert t[out[0].start : out[0].end] == "a" * 200 + "@lab.example"
+
+
 def test_empty_corpus(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert find_personal_data(df).count() == 0 and redact_documents(df).count() == 0
