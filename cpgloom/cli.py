@@ -56,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--modified", action="store_true")
     p = add("append", "cohort")
     p.add_argument("--inputs", nargs="+", required=True)
+    p.add_argument("--modified", action="store_true")
     p = add("query", "store", "index", "sample-id")
     _view(p)
     p.add_argument("--locus")
@@ -144,7 +145,7 @@ def run(argv: list[str] | None = None, spark=None):
         case "merge":
             c.merge(spark, _expand(a.inputs), a.output, a.modified)
         case "append":
-            c.append(spark, a.cohort, _expand(a.inputs))
+            c.append(spark, a.cohort, _expand(a.inputs), a.modified)
         case "query":
             out = c.query(spark, a.store, a.index, a.sample_id, a.locus, a.region, key)
             print(json.dumps(out))

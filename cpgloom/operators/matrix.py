@@ -59,13 +59,13 @@ def range_observed(index: DataFrame, view: DataFrame, sample_id: str, chrom: str
     return range_dense(index, view, sample_id, chrom, start, end).where(F.col("fraction").isNotNull())
 
 
-def merge_modified(obs: DataFrame, parts: tuple[str, str] = ("5mC", "5hmC"), merged: str = "modifiedC") -> DataFrame:
+def merge_modified(obs: DataFrame, parts: tuple[str, str] = ("5mC", "5hmC"), merged: str = "modifiedC", keep: tuple[str, ...] = ()) -> DataFrame:
     """Sum of both assays, at most 1, where both are observed, else the observed one; combined only
-    within equal haplotype and strand."""
+    within equal haplotype and strand. ``keep`` are columns that depend on the row."""
     both = obs.where(F.col("assay").isin(*parts))
-    return both.groupBy("haplotype", "strand", "sample_id", "row_id").agg(
+    return both.groupBy("haplotype", "strand", "sample_id", "row_id", *keep).agg(
         F.least(F.sum("value"), F.lit(VALUE_MAX)).cast("int").alias("value")
-    ).select(F.lit(merged).alias("assay"), "haplotype", "strand", "sample_id", "row_id", "value")
+    ).select(F.lit(merged).alias("assay"), "haplotype", "strand", "sample_id", "row_id", *keep, "value")
 
 
 def observed_counts(obs: DataFrame, columns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 
@@ -40,35 +41,17 @@ def create(spark, index: str, source: str, output: str, sample_id: str | None =
         platform = "pacbio"
     else:
         raise ValueError(input_format)
-    store.write_bundle(obs, output, sample_id or codec.sample_id_from_path(source), platform, os.path.abspath(index), overwrite, source)
+    summary = None if receipt is None else {"receipt": [r.asDict() for r in receipt.collect()], "min_coverage": min_coverage}  # one row per track
+    store.write_bundle(obs, output, sample_id or codec.sample_id_from_path(source), platform, os.path.abspath(index), overwrite, source, summary)
     return receipt
 
 
 def merge(spark, bundles: list[str], output: str, modified: bool = False, overwrite: bool = False) -> None:
-    store.merge_bundles(spark, bundles, output, overwrite)
-    if modified:
-        add_modified(spark, output)
+    store.merge_bundles(spark, bundles, output, overwrite, modified)
 
 
-def add_modified(spark, cohort: str) -> None:
-    """Add the merged view of both assays to a cohort, for the samples of either."""
-    m = store.read_manifest(cohort)
-    obs = spark.read.parquet(os.path.join(cohort, "obs"))
-    idx = obs.select("row_id", "chrom").distinct()
-    both = matrix.merge_modified(obs).join(idx, "row_id")
-    both.repartition(*store.PARTS).sortWithinPartitions(*store.PARTS, "row_id").select(*store.PARTS, "row_id", "sample_id", "value").write.mode("append").partitionBy(
-        *store.PARTS
-    ).option("compression", "zstd").parquet(os.path.join(cohort, "obs"))
-    seen = {}
-    for c in m["columns"]:
-        if c["assay"] in ("5mC", "5hmC"):
-            seen.setdefault((c["haplotype"], c["strand"], c["sample_id"]), c | {"assay": "modifiedC"})
-    m["columns"] += list(seen.values())
-    store._manifest(cohort, **{k: v for k, v in m.items() if k != "format_version"})
-
-
-def append(spark, cohort: str, bundles: list[str]) -> None:
-    store.append_bundles(spark, cohort, bundles)
+def append(spark, cohort: str, bundles: list[str], modified: bool = False) -> None:
+    store.append_bundles(spark, cohort, bundles, modified)
 
 
 def query(spark, path: str, index: str, sample_id: str, locus: str | None = None, region: str | None = None, key: TrackKey = DEFAULT_VIEW) -> dict | None:
@@ -84,7 +67,7 @@ def query(spark, path: str, index: str, sample_id: str, locus: str | None = None
 
 
 def group(spark, cohort: str, index: str, output: str, method: str = "denovo", intervals: DataFrame | None = None, key: TrackKey = DEFAULT_VIEW, correlation: float = 0.8,
-          gap: int = 200, shared: int = 3, min_observed: int = 1, min_rows: int = 2, left_shift: int = 0) -> dict:
+          gap: int = 200, shared: int = 3, min_observed: int = 1, min_rows: int = 2, left_shift: int = 0, write_table: bool = False, overwrite: bool = False) -> dict:
     """Group rows and write the grouped cohort with every view; the boundaries of one view serve all."""
     idx = load_index(spark, index)
     if method == "denovo":
@@ -100,16 +83,30 @@ def group(spark, cohort: str, index: str, output: str, method: str = "denovo", i
     if not summary["n_groups"]:
         raise ValueError("no group is left")
     m = store.read_manifest(cohort)
-    means = matrix.group_mean(spark.read.parquet(os.path.join(cohort, "obs")), grouping.group_members(g), min_observed)
+    means = matrix.group_mean(store.scan(spark, cohort), grouping.group_members(g), min_observed)
     rows = means.join(g.select("group_row", "chrom"), "group_row").withColumnRenamed("group_row", "row_id")
-    store.write_cohort(rows, m["columns"], output, m["index_id"], representation="cpg_groups")
-    g.write.parquet(os.path.join(output, "groups"))
+
+    def more(folder: str) -> None:
+        g.write.parquet(os.path.join(folder, "groups"))
+        if write_table:
+            grouping_table(g, os.path.join(folder, "groups.tsv.gz"))
+        with open(os.path.join(folder, "grouping_summary.json"), "w") as f:
+            json.dump(summary | {"n_source": n_source, "method": method}, f, indent=1)
+
+    store.write_cohort(rows, m["columns"], output, m["index_id"], overwrite, "cpg_groups", more)
     g.unpersist()
-    with open(os.path.join(output, "grouping_summary.json"), "w") as f:
-        json.dump(summary | {"n_source": n_source, "method": method}, f, indent=1)
     return summary
 
 
+def grouping_table(groups: DataFrame, path: str) -> None:
+    """The group index as one ordered, compressed table; groups stream to one writer."""
+    cols = ["group_id", "chrom", "start", "end", "source_row_start", "source_row_end", "n_rows", *[c for c in ("reference_start", "reference_end") if c in groups.columns]]
+    with gzip.open(path, "wt") as f:
+        f.write("\t".join(cols) + "\n")
+        for r in groups.orderBy("group_row").select(*cols).toLocalIterator(prefetchPartitions=True):
+            f.write("\t".join(map(str, r)) + "\n")
+
+
 def export_phenotypes(spark, cohort: str, index: str, output: str, key: TrackKey = DEFAULT_VIEW, samples: list[str] | None = None, rename: dict[str, str] | None = None,
                       region: str | None = None, min_present: float = 1.0, missing: str = "drop", overwrite: bool = False) -> dict:
     have = [c["sample_id"] for c in store.view_columns(cohort, key)]
@@ -214,7 +211,7 @@ def segments_pca(spark, files: dict[str, str], outdir: str, regions: DataFrame |
 
 def stats(spark, cohort: str, n_rows: int, selector: tuple[str, str, str] = ("all", "all", "all"), meta: DataFrame | None = None, fields: list[str] | None = None) -> dict[str, DataFrame]:
     cols = spark.createDataFrame(store.read_manifest(cohort)["columns"]).select(*matrix.VIEW, "sample_id")
-    obs = spark.read.parquet(os.path.join(cohort, "obs"))
+    obs = store.scan(spark, cohort)
     counts = matrix.observed_counts(matrix.select_tracks(obs, *selector), matrix.select_tracks(cols, *selector))
     out = {"ranks": matrix.sample_rank(counts), "tracks": matrix.track_summary(counts, n_rows)}
     if meta is not None:
@@ -224,7 +221,7 @@ def stats(spark, cohort: str, n_rows: int, selector: tuple[str, str, str] = ("al
 
 def binned(spark, cohort: str, index: str, width: int, selector: tuple[str, str, str] = ("5mC,5hmC", "combined", "combined"), report: str | None = None) -> DataFrame:
     """Binned profiles of the cohort's own views."""
-    obs = matrix.select_tracks(spark.read.parquet(os.path.join(cohort, "obs")), *selector)
+    obs = matrix.select_tracks(store.scan(spark, cohort), *selector)
     bins = matrix.bin_mean(obs.drop("chrom"), load_index(spark, index), width)
     if report:
         t = bins.toPandas()  # one report holds one heatmap of samples by bins
@@ -244,7 +241,7 @@ def profile(spark, cohort: str, index: str, region: str, selector: tuple[str, st
     if samples:
         shared = shared.where(F.col("sample_id").isin(samples))
     idx = load_index(spark, index).where((F.col("chrom") == r.chrom) & (F.col("pos0") >= r.start) & (F.col("pos0") < r.end))
-    obs = matrix.select_tracks(spark.read.parquet(os.path.join(cohort, "obs")).where(F.col("chrom") == r.chrom), *selector).drop("chrom")
+    obs = matrix.select_tracks(store.scan(spark, cohort).where(F.col("chrom") == r.chrom), *selector).drop("chrom")
     obs = obs.join(shared, "sample_id", "left_semi").join(idx.select("row_id", "pos0"), "row_id")
     if combine != "none":
         both = matrix.combine_tracks(obs, combine).join(idx.select("row_id", "pos0"), "row_id")
@@ -261,7 +258,7 @@ def profile(spark, cohort: str, index: str, region: str, selector: tuple[str, st
 
 def strand_bias(spark, cohort: str, index: str, assay: str = "5hmC", haplotype: str = "combined", fraction: float = 0.8, min_total: float = 0.005, gap: int = 1000, min_cpgs: int = 1,
                 top_n: int = 500, category: DataFrame | None = None) -> dict[str, DataFrame]:
-    obs = spark.read.parquet(os.path.join(cohort, "obs")).where((F.col("assay") == assay) & (F.col("haplotype") == haplotype)).drop("chrom")
+    obs = store.scan(spark, cohort).where((F.col("assay") == assay) & (F.col("haplotype") == haplotype)).drop("chrom")
     plus = {c["sample_id"] for c in store.view_columns(cohort, TrackKey(assay, haplotype, "plus"))}
     both = plus & {c["sample_id"] for c in store.view_columns(cohort, TrackKey(assay, haplotype, "minus"))}
     n = len(both)
@@ -305,6 +302,6 @@ def atlas(spark, npy: str, row_index: str, samples: str, cohorts: list[str], out
         aligned = metadata.align_rows(g, target).persist()
         if aligned.where("NOT matched").limit(1).count():
             raise ValueError(f"rows of {c} are missing from the matrix index")
-        out = out.unionByName(metadata.remap(spark.read.parquet(os.path.join(c, "obs")), aligned).select(*out.columns))
+        out = out.unionByName(metadata.remap(store.scan(spark, c), aligned).select(*out.columns))
         cols += m["columns"]
     store.write_cohort(out, cols, output, os.path.abspath(row_index), representation="matrix_rows")

@@ -76,6 +76,29 @@ def test_merge_append_and_lookups(spark, two):
         commands.append(spark, f"{d}/cohort", [f"{d}/pb_a"])
     with pytest.raises(ValueError):
         q(f"{d}/cohort", "ont_a", region="chr2:6-2")
+    r = q(f"{d}/pb_a", "pb_a", region="chr1:1-7")  # a bundle has its observed rows, with coverage
+    assert [(x["pos0"], x["fraction"], x["coverage"]) for x in r["records"]] == [(1, 0.76, 5), (3, 0.18, 5)]
+    assert q(f"{d}/pb_a", "pb_a", region="chr9:1-7")["count"] == 0
+
+
+def test_append_may_be_repeated_after_a_failure(spark, two, tmp_path, monkeypatch):
+    c = str(tmp_path / "c")
+    commands.merge(spark, [f"{two}/ont_a"], c, modified=True)
+    before = sorted(map(tuple, store.scan(spark, c).collect()))
+    broken = store._manifest
+    monkeypatch.setattr(store, "_manifest", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        commands.append(spark, c, [f"{two}/pb_a"], modified=True)
+    monkeypatch.setattr(store, "_manifest", broken)
+    assert sorted(map(tuple, store.scan(spark, c).collect())) == before
+    commands.append(spark, c, [f"{two}/pb_a"], modified=True)
+    rows = [tuple(r) for r in store.scan(spark, c).collect()]
+    assert len(rows) == len(set(rows)) and set(before) < set(rows)
+    key = TrackKey("modifiedC", "combined", "combined")
+    assert [x["sample_id"] for x in store.view_columns(c, key)] == ["ont_a", "pb_a"]
+    assert {r["row_id"]: r["value"] for r in store.scan_view(spark, c, key).where("sample_id = 'pb_a'").collect()} == {0: 7600, 1: 1800, 3: 6600}
+    with pytest.raises(ValueError):
+        store.add_modified(spark, c)
 
 
 def test_stranded_modkit(spark, two):
