@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tokens import DEFAULT_TOKENIZER, encode_corpus
 
-#: Items of one length are ranked in so many independent slices.
-SLICES = 64
+#: Items of one length are ranked in independent slices: this many at least, and one per SLICE_ITEMS items.
+SLICES, SLICE_ITEMS = 64, 1_000_000
+#: Slots are looked up by length and block of ranks, so that no length, however frequent, is one key.
+RANK_BLOCK = 4096
 #: A plan of up to this many rows (some 50 bytes each) is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -76,7 +78,7 @@ def _schema(sizes: DataFrame, key: str) -> str:
 
 
 def pack(
-    sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str = "n_tokens", slices: int = SLICES
+    sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", size: str = "n_tokens", slices: int = SLICES, rank_block: int = RANK_BLOCK
 ) -> DataFrame:
     """Assign every item of ``sizes`` to a container of every profile.
 
@@ -87,8 +89,9 @@ def pack(
     hold nothing and give no rows. Keys may be null or repeated: each row is an item.
 
     Plan: only the histogram, at most one row per profile and size up to the capacity, reaches the
-    driver. Ranks within a size are counted in ``slices`` independent slices with offsets, so a size
-    that holds a third of all items is ranked by many tasks.
+    driver. Ranks within a size are counted in independent slices with offsets (at least ``slices``, more
+    for many items), so a size that holds a third of all items is ranked by many tasks. An item finds its
+    slot among the plan rows that touch its block of ``rank_block`` ranks.
     """
     spark = sizes.sparkSession
     caps = profiles.where(F.col("capacity_tokens") >= 1).groupBy("profile_id").agg(F.max("capacity_tokens").cast("long").alias("cap"))
@@ -96,6 +99,7 @@ def pack(
     capacity = {r["profile_id"]: r["cap"] for r in caps.collect()}  # the table of profiles
     if not capacity:
         return spark.createDataFrame([], _schema(sizes, key))
+    slices = max(slices, sizes.count() // SLICE_ITEMS)
     per_profile = [
         F.struct(F.lit(p).alias("profile_id"), F.lit(c).cast("long").alias("cap")) for p, c in sorted(capacity.items())
     ]
@@ -127,14 +131,12 @@ def pack(
     for p, cap in capacity.items():
         planned, used[p] = plan_best_fit(histogram[p], cap)
         rows += [(p, *row) for row in planned]
-        rows.append((p, 0, 0, (1 << 62), 1, 0))
-    plan = spark.createDataFrame(
-        rows, "profile_id int, n_tokens long, r0 long, r1 long, each long, c0 long"
-    )
-    n_used = spark.createDataFrame([(p, max(1, n)) for p, n in used.items()], "profile_id int, containers long")
-    plan = plan.join(F.broadcast(n_used), "profile_id")
-    if len(rows) <= BROADCAST_ROWS:
+    plan = spark.createDataFrame(rows, "profile_id int, n_tokens long, r0 long, r1 long, each long, c0 long")
+    plan = plan.withColumn("block", F.explode(F.expr(f"sequence(r0 div {rank_block}, r1 div {rank_block})")))
+    n_slots = sum(r1 // rank_block - r0 // rank_block + 1 for _, _, r0, r1, _, _ in rows)
+    if n_slots <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
+    n_used = spark.createDataFrame([(p, max(1, n)) for p, n in used.items()], "profile_id int, containers long")
     before = Window.partitionBy("profile_id", "n_tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     in_slice = Window.partitionBy("profile_id", "n_tokens", "slice").orderBy("k", "piece")
@@ -143,11 +145,22 @@ def pack(
         .join(offsets, ["profile_id", "n_tokens", "slice"])
         .withColumn("rank", F.col("offset") + F.col("rn") - 1)
     )
-    slots = ranked.join(plan, ["profile_id", "n_tokens"]).where(F.col("rank").between(F.col("r0"), F.col("r1")))
-    container = F.when(F.col("n_tokens") > 0, F.col("c0") + F.expr("(rank - r0) div each")).otherwise(F.expr("rank % containers"))
-    return slots.select(
-        "profile_id", container.alias("container_id"), F.col("k").alias(key), "piece", "start_token", "n_tokens"
-    )
+    placed = ranked.where("n_tokens > 0").withColumn("block", F.expr(f"rank div {rank_block}")).join(plan, ["profile_id", "n_tokens", "block"])
+    placed = placed.where(F.col("rank").between(F.col("r0"), F.col("r1"))).withColumn("container_id", F.col("c0") + F.expr("(rank - r0) div each"))
+    empty = ranked.where("n_tokens = 0").join(F.broadcast(n_used), "profile_id").withColumn("container_id", F.expr("rank % containers"))  # one row per profile
+    out = ["profile_id", "container_id", F.col("k").alias(key), "piece", "start_token", "n_tokens"]
+    return placed.select(*out).unionByName(empty.select(*out))
+
+
+def container_fill(packed: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``profile_id, capacity_tokens, containers, least, tokens, fill``: containers used, the fewest that the
+    tokens could take, and the share of the used space that is filled."""
+    used = packed.groupBy("profile_id").agg((F.max("container_id") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
+    caps = profiles.groupBy("profile_id").agg(F.max("capacity_tokens").cast("long").alias("capacity_tokens"))
+    return used.join(caps, "profile_id").select(
+        "profile_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least"), "tokens",
+        (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"),
+    )
 
 
 def pack_documents(documents: DataFrame, profiles: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

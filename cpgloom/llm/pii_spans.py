@@ -63,7 +63,7 @@ PERSON_CUE = (
     r"thanks,|thank you,|regards,|wishes,?|cheers,|best,|sincerely,|cc:|cc|from:|to:|by:|ask|author:|maintainer:|maintained by|contact:|owner:|name:|reviewed by|"
     r"written by|signed by|sent by|signed-off-by:|co-authored-by:|reported-by:|laut|según|d'après|d’après|selon|demandez à|demandez a|saludos,|viele grüße,|mit freundlichen grüßen,|"
     r"cordialement,|met|called|emailed|contacted|asked|told|thank|(?:my|our|your|his|her|their|the|a|former|new|old) (?:ROLE)|"
-    r"as|--|автор:|с уважением,|спросите,|спросите|担当[:：]|(?:author|owner|name|contact|assignee|maintainer|user|operator|reviewer|submitter)\W{1,5}"
+    r"as|--|автор:|с уважением,|спросите,|спросите|担当[:：]|(?:author|owner|name|contact|assignee|maintainer|user|operator|reviewer|submitter)[^\w\n]{1,5}"
 ).replace("ROLE", ROLE)
 PERSON_AFTER = (
     r"signed|and i\b|said|says|wrote|writes|who\b|works?\b|worked|fixed|left\b|sent|called|joined|replied|answered|noticed|found|confirmed|had\b|has\b|told|asked|reported|"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .packing import pack_documents
+from .packing import container_fill, pack_documents
 from .percentiles import combined_percentiles, track_percentiles, track_states
 from .pii import find_personal_data, redact_documents
 from .tokens import encode_corpus
@@ -36,6 +36,11 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_profile"))
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each profile are."""
+    return container_fill(p7_containers(spark, sf_dir), _read(spark, sf_dir, "pack_profile"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "p3_combined": p3_combined,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }

@@ -3,7 +3,7 @@ from bisect import bisect_left, insort
 
 import pytest
 
-from cpgloom.llm.packing import pack, plan_best_fit
+from cpgloom.llm.packing import container_fill, pack, plan_best_fit
 
 PROFILES = "profile_id int, capacity_tokens int"
 
@@ -58,7 +58,7 @@ def test_packs_everything(spark):
     used = check(rows, sizes, caps)
     total = sum(v or 0 for v in sizes.values())
     assert all(used[p] <= -(-total // cap) + 1 for p, cap in caps.items())
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, pack(df.repartition(7), prof, slices=64).collect()))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, pack(df.repartition(7), prof, slices=64, rank_block=3).collect()))
 
 
 def test_one_length_holds_most_items(spark):
@@ -66,6 +66,8 @@ def test_one_length_holds_most_items(spark):
     df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
     used = check(pack(df, spark.createDataFrame([(1, 10)], PROFILES)).collect(), sizes, {1: 10})
     assert used[1] == 10 + -(-4990 // 3)
+    f = container_fill(pack(df, spark.createDataFrame([(1, 10)], PROFILES), slices=3, rank_block=50), spark.createDataFrame([(1, 10)], PROFILES)).first()
+    assert (f["containers"], f["tokens"], f["least"]) == (used[1], 15070, 1507) and abs(f["fill"] - 15070 / (10 * used[1])) < 1e-12
 
 
 def test_empty_tables_and_repeated_keys(spark):
