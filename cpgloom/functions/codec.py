@@ -80,13 +80,55 @@ def shift_minus(position: Column, strand: Column, clamp: bool) -> Column:
     return F.when(strand == "-", moved).otherwise(position)
 
 
-def broad_tissue(name: Column, prefixes: dict[str, str], other: str = "Other") -> Column:
-    """Group of a tissue name by its prefix; blank names have none."""
+#: Fixed: groups of tissues by the beginning of their name, in lower case.
+BROAD_TISSUES = {
+    "brain": "Brain / CNS",
+    "skin": "Skin / Connective",
+    "muscle": "Musculoskeletal",
+    "heart": "Cardiovascular",
+    "aorta": "Cardiovascular",
+    "blood": "Blood / Immune",
+    "lung": "Respiratory",
+    "colon": "Digestive",
+    "esophagus": "Digestive",
+    "liver": "Digestive",
+    "adrenal": "Endocrine",
+    "ovary": "Reproductive",
+    "testis": "Reproductive",
+}
+#: Fixed: words anywhere in a name that decide before the table does, except for names it puts first.
+BROAD_WORDS = {"dermal fibroblast": "Skin / Connective"}
+
+
+def broad_tissue(name: Column, prefixes: dict[str, str] = BROAD_TISSUES, words: dict[str, str] = BROAD_WORDS, other: str = "Other") -> Column:
+    """Group of a tissue name by its beginning or a word in it; blank names have none. The first prefix wins
+    over the words, which win over the others."""
     n = F.lower(F.trim(name))
+    first, *rest = prefixes.items()
     out = F.lit(other)
-    for prefix, group in reversed(prefixes.items()):
+    for prefix, group in reversed(rest):
         out = F.when(n.startswith(prefix), group).otherwise(out)
-    return F.when(n != "", out)
+    for word, group in words.items():
+        out = F.when(n.contains(word), group).otherwise(out)
+    return F.when(n != "", F.when(n.startswith(first[0]), first[1]).otherwise(out))
+
+
+#: Fixed: the pattern of a sample's root within its id, the parts it has otherwise, and endings that do not count.
+SAMPLE_ROOT = r"^(SMHT[^-]+(?:-[^-]+){5})"
+STORE_ENDINGS = r"\.(?:smdb|mmdb|mdb|bam|bai)$"
+
+
+def canonical_root(c: Column) -> Column:
+    """The root of a sample id or path: its last part without endings, cut to the pattern where it fits; empty
+    for a blank or missing one."""
+    base = F.regexp_replace(F.regexp_extract(F.trim(c), r"([^/]*)$", 1), STORE_ENDINGS, "")
+    root = F.regexp_extract(base, SAMPLE_ROOT, 1)
+    return F.when(c.isNull() | F.lower(F.trim(c)).isin("", "nan"), "").when(root != "", root).otherwise(base)
+
+
+def thousands_label(rank: Column, chrom: Column, start: Column, end: Column) -> Column:
+    """``H<rank>: <chrom>:<first>-<last>`` with 1-based, comma-grouped positions of a half-open interval."""
+    return F.concat(F.lit("H"), rank.cast("string"), F.lit(": "), chrom, F.lit(":"), F.format_number(start + 1, 0), F.lit("-"), F.format_number(end, 0))
 
 
 _SUFFIXES = re.compile(r"(\.(bed|bedmethyl|tsv|txt|smdb|segments|gz|combined|hap1|hap2|hp1|hp2))+$", re.IGNORECASE)
@@ -97,7 +139,8 @@ def sample_id_from_path(path: str) -> str:
 
 
 def safe_file_part(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9_.-]+", "_")
+    """A category as part of a file name: no slashes, blanks or commas."""
+    return F.translate(c, "/ ,", "__")
 
 
 @dataclass(frozen=True)

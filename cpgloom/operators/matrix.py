@@ -126,6 +126,14 @@ def region_mean(view: DataFrame, row_regions: DataFrame) -> DataFrame:
     )
 
 
+def region_table(view: DataFrame, row_regions: DataFrame, regions: DataFrame) -> DataFrame:
+    """``region_id, chrom, start, end, n_cpgs, sample_id, fraction``: region means beside the number of index
+    rows of the region, observed or not. A region that no sample observes has one row with null sample."""
+    n = row_regions.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_cpgs"))
+    m = region_mean(view, row_regions).select("region_id", "sample_id", "fraction")
+    return regions.select("region_id", "chrom", "start", "end").join(n, "region_id", "left").join(m, "region_id", "left").withColumn("n_cpgs", F.coalesce("n_cpgs", F.lit(0)))
+
+
 def bin_mean(obs: DataFrame, index: DataFrame, width: int) -> DataFrame:
     """Mean per view, sample and fixed bin of ``width`` bases; empty bins are absent."""
     placed = obs.join(index.select("row_id", "chrom", F.expr(f"pos0 div {width}").alias("bin")), "row_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import embed, export, grouping, matrix, metadata, ranges, segments, strand
 from ..session import cut_lineage
-from ..sources.fasta import motif_positions
+from ..sources import beds, fasta
 from . import adapters as A
 from .adapters import META, OBS, SEG
 
@@ -49,19 +49,14 @@ def _samples(view: DataFrame) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY chrom_ord, pos0) - 1 AS row_id, chrom, pos0 FROM cpg_index")
 def index_rows(s, d):
     """Dense row ids in index order from (chrom_ord, pos0): counted per chromosome, then offset."""
-    t = A.index(s, d).select("chrom", "chrom_ord", "pos0")
-    per = t.groupBy("chrom_ord").agg(F.count(F.lit(1)).alias("k"))
-    off = per.select("chrom_ord", F.coalesce(F.sum("k").over(Window.orderBy("chrom_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    rank = F.row_number().over(Window.partitionBy("chrom_ord").orderBy("pos0"))
-    x = t.withColumn("rank", rank).join(F.broadcast(off), "chrom_ord")
-    return x.select((F.col("off") + F.col("rank") - 1).alias("row_id"), "chrom", "pos0")
+    return fasta.number_sites(A.index(s, d).select("chrom", "chrom_ord", "pos0")).select("row_id", "chrom", "pos0")
 
 
-@query("""WITH p AS (SELECT doc_id, string_split(text, 'CG') AS parts FROM documents WHERE text IS NOT NULL),
+@query("""WITH p AS (SELECT doc_id, string_split(text, 'ch') AS parts FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM p)
 SELECT doc_id, pos0::BIGINT AS pos0 FROM (SELECT doc_id, i, n, sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS pos0 FROM x) WHERE i < n""")
 def motif_in_texts(s, d):
-    return motif_positions(A.read(s, d, "documents"), "doc_id", "text", "CG")
+    return fasta.motif_positions(A.read(s, d, "documents"), "doc_id", "text", "ch")
 
 
 @query("""SELECT obs_id, loaded_at, CASE WHEN value_u16::FLOAT / 100 BETWEEN 0 AND 100 THEN round_even((value_u16::FLOAT / 100::FLOAT)::FLOAT * 100::FLOAT, 0)::INT END AS encoded,
@@ -78,12 +73,9 @@ SELECT assay, haplotype, strand, count(*) AS n_input, count_if(coverage IS NULL
 count_if(coverage >= 5 AND hit IS NULL) AS n_off_index, count_if(coverage >= 5 AND hit IS NOT NULL) AS n_imported FROM t GROUP BY ALL""")
 def import_receipt(s, d):
     """Rows in, below coverage, off the index (here without chrX), imported."""
-    idx = A.index(s, d).where("chrom <> 'chrX'").select("row_id", F.lit(True).alias("hit"))
-    t = A.read(s, d, "sample_track").select(*VIEW, "row_id", "coverage").join(idx, "row_id", "left")
-    deep, on = F.coalesce(F.col("coverage") >= A.MIN_COVERAGE, F.lit(False)), F.col("hit").isNotNull()
-    return t.groupBy(*VIEW).agg(
-        F.count(F.lit(1)).alias("n_input"), F.count_if(~deep).alias("n_below"), F.count_if(deep & ~on).alias("n_off_index"), F.count_if(deep & on).alias("n_imported")
-    )
+    idx = A.index(s, d).where("chrom <> 'chrX'").select(F.col("row_id").alias("hit"))
+    t = A.read(s, d, "sample_track").select(*VIEW, "row_id", "coverage")
+    return beds.import_receipt(t.join(idx, F.col("row_id") == F.col("hit"), "left").select(*VIEW, F.col("hit").alias("row_id"), "coverage"), A.MIN_COVERAGE)
 
 
 @query(f"""WITH {OBS}, c AS (SELECT o.*, i.chrom, CASE WHEN strand = 'minus' THEN greatest(pos0 - 10400, 0) ELSE pos0 END AS p FROM obs o JOIN cpg_index i USING (row_id))
@@ -426,9 +418,9 @@ def category_summary(s, d):
     return _r9(strand.category_summary(strand.sample_metrics(_pairs(s, d)), _category(s, d)), "median_diff", "mean_diff", "median_balance")
 
 
-@query(f"WITH {SCO} SELECT * FROM sco ORDER BY score DESC, abs_mean_diff DESC, row_id LIMIT 1000")
+@query(f"WITH {SCO} SELECT * FROM sco ORDER BY score DESC, abs_mean_diff DESC, row_id LIMIT 100")
 def hotspot_candidates(s, d):
-    return strand.best_rows(_scores(s, d), strand.candidate_limit(50, 1))
+    return strand.best_rows(_scores(s, d), strand.candidate_limit(5, 1))
 
 
 CLU = f"""{SCO}, best AS (SELECT * FROM sco ORDER BY score DESC, abs_mean_diff DESC, row_id LIMIT 1000), placed AS (SELECT b.*, i.chrom, i.pos0 FROM best b JOIN cpg_index i USING (row_id)),
@@ -612,12 +604,15 @@ def sliding_mean_chromosomes(s, d):
     return matrix.sliding_mean(at, 5, by=("chrom",)).withColumns({"pos0_mean": F.round("pos0_mean", 6), "fraction": F.round("fraction", 9)})
 
 
-@query(f"""WITH {WIN}, {DEC}, t AS (SELECT row_number() OVER (ORDER BY chrom_ord, pos0) - 1 AS target_row, chrom, pos0 AS s, pos0 + 2 AS e FROM cpg_index)
+@query(f"""WITH {DEC}, t AS (SELECT row_id AS target_row, chrom, pos0::BIGINT AS s, pos0::BIGINT + 2 AS e FROM cpg_index UNION ALL SELECT 1000000 + group_row, chrom, "start", "end" FROM grp WHERE group_row % 3 < 2)
 SELECT g.group_row, t.target_row, (t.target_row IS NOT NULL) AS matched FROM grp g LEFT JOIN t ON t.chrom = g.chrom AND t.s = g."start" AND t.e = g."end" """)
 def atlas_alignment(s, d):
-    """Exact interval alignment of grouped rows with another row system; unmatched ones are reported."""
-    idx = index_rows(s, d).select(F.col("row_id").alias("target_row"), "chrom", F.col("pos0").cast("long").alias("start"), (F.col("pos0") + 2).cast("long").alias("end"))
-    return metadata.align_rows(grouping.distance_groups(A.index(s, d), gap=200, min_rows=2), idx)
+    """Exact interval alignment of grouped rows with a row system of sites and two thirds of the groups;
+    unmatched ones are reported."""
+    g = grouping.distance_groups(A.index(s, d), gap=200, min_rows=2)
+    sites = A.index(s, d).select(F.col("row_id").alias("target_row"), "chrom", F.col("pos0").cast("long").alias("start"), (F.col("pos0").cast("long") + 2).alias("end"))
+    some = g.where("group_row % 3 < 2").select((F.col("group_row") + 1000000).alias("target_row"), "chrom", "start", "end")
+    return metadata.align_rows(g, sites.unionByName(some))
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS f FROM embeddings),

@@ -208,11 +208,8 @@ def read_methbat(spark: SparkSession, files: list[InputFile], index: DataFrame,
         shift_minus(F.col("start"), F.col("sign"), clamp=False).alias("pos0"), encode_percent(F.col("percent")).alias("value"), F.col("coverage").cast("int").alias("coverage"),
     )
     placed = named.join(index.select("chrom", "pos0", "row_id"), ["chrom", "pos0"], "left")
-    deep = F.col("coverage") >= min_coverage
-    on = F.col("row_id").isNotNull()
-    receipt = placed.groupBy("assay", "haplotype", "strand").agg(
-        F.count(F.lit(1)).alias("n_input"), F.count_if(~deep).alias("n_below"), F.count_if(deep & ~on).alias("n_off_index"), F.count_if(deep & on).alias("n_imported")
-    )
+    receipt = import_receipt(placed, min_coverage)
+    deep, on = F.col("coverage") >= min_coverage, F.col("row_id").isNotNull()
     obs = placed.where(deep & on).select(*OBS)
     twice = obs.groupBy("assay", "haplotype", "strand", "row_id").count().where("count > 1").limit(1).count()
     if twice:
@@ -222,6 +219,15 @@ def read_methbat(spark: SparkSession, files: list[InputFile], index: DataFrame,
     return obs, receipt
 
 
+def import_receipt(placed: DataFrame, min_coverage: int) -> DataFrame:
+    """Rows per track: read, below the coverage, off the index, imported. ``row_id`` is null off the index; a
+    null coverage is below any."""
+    deep, on = F.coalesce(F.col("coverage") >= min_coverage, F.lit(False)), F.col("row_id").isNotNull()
+    return placed.groupBy("assay", "haplotype", "strand").agg(
+        F.count(F.lit(1)).alias("n_input"), F.count_if(~deep).alias("n_below"), F.count_if(deep & ~on).alias("n_off_index"), F.count_if(deep & on).alias("n_imported")
+    )
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """``chrom, start, end`` of a BED file; a header begins with ``#`` or ``chrom``; empty and reversed
     intervals are left out."""

@@ -9,19 +9,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 #: Bytes of a contig that one task scans.
 CHUNK = 16 << 20
 
 
 def motif_positions(df: DataFrame, key: str, text: str, motif: str) -> DataFrame:
-    """0-based positions (in characters) of a motif that cannot overlap itself. Null texts give none.
-    The text is split at the motif and piece lengths are added up, in time linear in its length."""
-    parts = df.where(F.col(text).isNotNull()).select(
-        F.col(key), F.split(F.col(text), motif, -1).alias("parts")
-    ).select(key, F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.sum(F.length("part") + len(motif)).over(w) - len(motif)
-    return parts.withColumn("pos0", at).where(F.col("i") < F.col("n") - 1).select(key, F.col("pos0").cast("long").alias("pos0"))
+    """0-based positions (in characters) of a motif that cannot overlap itself, for every row of ``df``. Null
+    texts give none; rows with equal keys stay apart. Time is linear in the text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                p = t.find(motif) if t else -1
+                while p >= 0:
+                    at.append(i)
+                    found.append(p)
+                    p = t.find(motif, p + len(motif))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], names=[key, "pos0"])
+
+    src = df.where(F.contains(F.col(f"`{text}`"), F.lit(motif))).select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    return src.mapInArrow(find, f"`{key}` {df.schema[key].dataType.simpleString()}, pos0 long")
+
+
+def number_sites(sites: DataFrame) -> DataFrame:
+    """Add dense ``row_id`` from 0 in order of (chrom_ord, pos0): ranks within a chromosome plus the counts of
+    those before it, so no task sees all sites."""
+    per = sites.groupBy("chrom_ord").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.orderBy("chrom_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row per chromosome
+    off = per.select("chrom_ord", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("off"))
+    rank = F.row_number().over(Window.partitionBy("chrom_ord").orderBy("pos0"))
+    x = sites.withColumn("rank", rank).join(F.broadcast(off), "chrom_ord")
+    return x.withColumn("row_id", (F.col("off") + F.col("rank") - 1).cast("long")).select("row_id", *sites.columns)
 
 
 def contigs(path: str) -> list[tuple[str, int, int, int]]:
@@ -82,11 +103,8 @@ def build_index(spark: SparkSession, path: str, sex: bool = False, chunk: int =
         order += 1
     schema = "path string, chrom string, chrom_ord int, part int, a long, b long, end long"
     jobs = spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4096)), "chrom", "part")
-    got = jobs.mapInArrow(_scan, "chrom string, chrom_ord int, part int, letters long, found array<long>")
-    base = Window.orderBy("chrom_ord", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    got = keep(jobs.mapInArrow(_scan, "chrom string, chrom_ord int, part int, letters long, found array<long>"))
     before = Window.partitionBy("chrom_ord").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = got.withColumns({
-        "row0": F.coalesce(F.sum(F.size("found")).over(base), F.lit(0)), "pos_base": F.coalesce(F.sum("letters").over(before), F.lit(0)),
-    })
-    flat = placed.select("chrom", "chrom_ord", "row0", "pos_base", F.posexplode("found").alias("i", "p"))
-    return flat.select((F.col("row0") + F.col("i")).cast("long").alias("row_id"), "chrom", "chrom_ord", (F.col("pos_base") + F.col("p")).cast("int").alias("pos0"))
+    base = got.select("chrom_ord", "part", F.coalesce(F.sum("letters").over(before), F.lit(0)).alias("base"))  # one row per chunk
+    flat = got.join(base, ["chrom_ord", "part"]).select("chrom", "chrom_ord", "base", F.explode("found").alias("p"))
+    return number_sites(flat.select("chrom", "chrom_ord", (F.col("base") + F.col("p")).cast("int").alias("pos0")))

@@ -3,11 +3,11 @@
 import pytest
 from oracle import differences
 
-from cpgloom.plans import data_problems, queries
+from cpgloom.plans import data_problems, queries, report_queries
 
 SF = "/root/testdata/sf0.001"
-ALL = data_problems.QUERIES | queries.QUERIES
-SQL = data_problems.ORACLES | queries.ORACLES
+ALL = data_problems.QUERIES | queries.QUERIES | report_queries.QUERIES
+SQL = data_problems.ORACLES | queries.ORACLES | report_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
