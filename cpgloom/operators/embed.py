@@ -61,6 +61,14 @@ def standardised(view: DataFrame, rows: DataFrame, moments: DataFrame) -> DataFr
     )
 
 
+def standardised_fractions(cells: DataFrame) -> DataFrame:
+    """The same from ``row_id, sample_id, fraction`` in full precision: each sample's mean and deviation over
+    its own cells; at most one cell gives 0 and 1, a zero deviation counts as 1."""
+    m = cells.groupBy("sample_id").agg(F.count(F.lit(1)).alias("k"), F.avg("fraction").alias("mean"), F.stddev_samp("fraction").alias("std"))
+    m = m.select("sample_id", F.when(F.col("k") > 1, F.col("mean")).otherwise(F.lit(0.0)).alias("mean"), F.when((F.col("k") > 1) & (F.col("std") > 0), F.col("std")).otherwise(F.lit(1.0)).alias("std"))
+    return cells.join(m, "sample_id").select("row_id", "sample_id", ((F.col("fraction") - F.col("mean")) / F.col("std")).alias("z"))
+
+
 def pca_from_gram(gram: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray]:
     """Sample coordinates and explained-variance ratios. The sign of each component makes its largest
     loading positive; the number of components is at most the matrix's size."""

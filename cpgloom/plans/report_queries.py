@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from ..functions import codec
 from ..functions.codec import TrackKey
-from ..operators import export, grouping, matrix, metadata, ranges, reports, strand
+from ..operators import export, grouping, matrix, metadata, ranges, reports, strand, validate
 from ..session import ensure_checkpoint_dir
 from ..sources import definitions, store
 from . import adapters as A
@@ -58,6 +58,22 @@ def position_digests(s, d):
     return definitions.position_digests(A.index(s, d))
 
 
+@query("""WITH x AS (SELECT sample_id, chrom, chrom_start AS s, chrom_end AS e FROM asm_segment),
+w AS (SELECT *, max(CASE WHEN e > s THEN e END) OVER (PARTITION BY sample_id, chrom ORDER BY s NULLS FIRST, e NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, lag(s) OVER q AS ps, lag(e) OVER q AS pe FROM x
+  WINDOW q AS (PARTITION BY sample_id, chrom ORDER BY s NULLS FIRST, e NULLS FIRST))
+SELECT count(*) AS n_rows, count_if(s IS NULL OR s < 0) AS n_negative, count_if(NOT coalesce(e > s, false)) AS n_empty, count_if(coalesce(s = ps AND e = pe, false)) AS n_repeated, count_if(coalesce(s < reach, false)) AS n_overlapping FROM w""")
+def interval_violations(s, d):
+    t = A.read(s, d, "asm_segment").withColumnsRenamed({"chrom_start": "start", "chrom_end": "end"})
+    return validate.interval_violations(t, ("sample_id", "chrom"))
+
+
+@query("""WITH c AS (SELECT assay, haplotype, strand, sample_id, row_id, count(*) AS n, count_if(NOT coalesce(value_u16 BETWEEN 0 AND 10000, false)) AS v, count_if(NOT coalesce(coverage BETWEEN 0 AND 65534, false)) AS c FROM sample_track GROUP BY ALL)
+SELECT assay, haplotype, strand, sample_id, sum(n)::BIGINT AS n_cells, sum(v)::BIGINT AS n_bad_value, sum(c)::BIGINT AS n_bad_coverage, count_if(NOT coalesce(row_id BETWEEN 0 AND 11999, false)) AS n_off_index, count_if(n > 1) AS n_repeated FROM c GROUP BY ALL""")
+def track_violations(s, d):
+    """Structure of the raw tracks against the first half of the index."""
+    return validate.track_violations(A.read(s, d, "sample_track").withColumnRenamed("value_u16", "value"), 12000)
+
+
 # ------------------------------------------------------------------ strings and metadata
 
 
