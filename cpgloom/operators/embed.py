@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The Gram matrix and its vectors are held by the driver and by each task.
-MAX_SAMPLES = 5000
 #: Up to this many samples the Gram matrix is made at once; beyond it, passes over the cells are cheaper.
 GRAM_SAMPLES = 512
 #: Vectors (samples long) that the driver holds between restarts, and passes after which it gives up.
@@ -25,32 +23,41 @@ MAX_BASIS, MAX_PASSES = 240, 400
 
 
 def gram_matrix(cells: DataFrame, samples: list[str]) -> np.ndarray:
-    """``Z'Z`` of ``row_id, sample_id, z`` with missing cells 0. Rows are gathered as sparse vectors;
-    each task adds up its own partial matrix and sends it once, in slices."""
+    """``Z'Z`` of ``row_id, sample_id, z`` with missing cells 0. Rows are gathered as sparse vectors; each task
+    adds up its own matrix, about the square root of as many tasks add those, and the driver the rest, one
+    at a time. Rosters above ``GRAM_SAMPLES`` go through ``pca``, which needs no such matrix."""
     k = len(samples)
-    if k > MAX_SAMPLES:
-        raise ValueError(f"{k} samples; the Gram matrix is made for at most {MAX_SAMPLES}")
     spark = cells.sparkSession
     order = spark.createDataFrame([(s, i) for i, s in enumerate(samples)], "sample_id string, i int")
-    rows = cells.join(F.broadcast(order), "sample_id").groupBy("row_id").agg(F.collect_list("i").alias("i"), F.collect_list("z").alias("z"))
+    rows = cells.join(order, "sample_id").groupBy("row_id").agg(F.collect_list(F.struct("i", "z")).alias("c"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(g: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((k, k))
         for b in batches:
-            z = np.zeros((min(len(b), 4096), k))
-            for at in range(0, len(b), 4096):
-                part = b.iloc[at : at + 4096]
-                z[:] = 0
-                for r, (i, v) in enumerate(zip(part["i"], part["z"])):
-                    z[r, np.asarray(i)] = v
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                i, v = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+                z = np.zeros((part.num_rows, k))
+                z[np.repeat(np.arange(part.num_rows), part.column(0).value_lengths().to_numpy()), i] = v
                 g += z.T @ z
-        yield pd.DataFrame({"r": np.arange(k), "v": list(g)})
+        yield packed(g)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((k, k))
+        for b in batches:
+            for x in b.column(0):
+                g += np.frombuffer(x.as_py()).reshape(k, k)
+        yield packed(g)
 
-    sums = rows.select("i", "z").mapInPandas(partial, "r int, v array<double>")
-    total = sums.select("r", F.posexplode("v").alias("c", "x")).groupBy("r", "c").agg(F.sum("x").alias("x"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = rows.select(F.col("c.i").alias("i"), F.col("c.z").alias("z")).mapInArrow(partial, "g binary")
+    sums = sums.repartition(max(1, math.isqrt(tasks))).mapInArrow(add, "g binary")
     g = np.zeros((k, k))
-    for r in total.toPandas().itertuples():
-        g[r.r, r.c] = r.x
+    for r in sums.toLocalIterator():
+        g += np.frombuffer(bytes(r["g"])).reshape(k, k)
     return g
 
 

@@ -52,17 +52,24 @@ def distance_groups(index: DataFrame, gap: int = 10, min_rows: int = 1, method:
 
 def adjacent_correlation(index: DataFrame, view: DataFrame, min_shared: int = 3) -> DataFrame:
     """Pearson over the samples that both a row and the next row of its chromosome observe; null for
-    fewer than ``min_shared`` samples or a constant side. An equi-join of each row with its neighbour and
-    six sums; no window over samples."""
-    nxt = index.select("row_id", F.lead("row_id").over(Window.partitionBy("chrom").orderBy("pos0", "row_id")).alias("next_row"))
-    a = view.select("row_id", "sample_id", F.col("value").cast("long").alias("x"))
-    pairs = a.join(nxt.where("next_row IS NOT NULL"), "row_id").join(
-        a.select(F.col("row_id").alias("next_row"), "sample_id", F.col("x").alias("y")), ["next_row", "sample_id"]
+    fewer than ``min_shared`` samples or a constant side. Every cell is sent to the pair of its row and the
+    next one and to the pair of the row before; a pair's cells, two per sample at most, meet by one shuffle
+    without sorting, and six sums do the rest."""
+    w = Window.partitionBy("chrom").orderBy("pos0", "row_id")
+    at = index.select("row_id", F.lead("row_id").over(w).alias("next_row"), F.lag("row_id").over(w).alias("prev_row"))
+    value = F.col("value").cast("long")
+    none = F.lit(None).cast("long")
+    both = F.array(
+        F.struct(F.when(F.col("next_row").isNotNull(), F.col("row_id")).alias("pair"), value.alias("x"), none.alias("y")),
+        F.struct(F.col("prev_row").alias("pair"), none.alias("x"), value.alias("y")),
     )
-    s = pairs.groupBy("row_id", "next_row").agg(
+    sent = view.select("row_id", "sample_id", "value").join(at, "row_id").select("sample_id", F.inline(both)).where(F.col("pair").isNotNull())
+    met = sent.repartition("pair").groupBy("pair", "sample_id").agg(F.max("x").alias("x"), F.max("y").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    s = met.groupBy("pair").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
         F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
     )
+    s = s.join(at.select(F.col("row_id").alias("pair"), "next_row"), "pair").withColumnRenamed("pair", "row_id")
     vx, vy = F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
     cov = F.expr("n * sxy - sx * sy").cast("double")
     ok = (F.col("n") >= min_shared) & (vx > 0) & (vy > 0)

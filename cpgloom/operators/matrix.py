@@ -32,20 +32,18 @@ def roster(obs: DataFrame) -> DataFrame:
     return obs.select(*VIEW, "sample_id").distinct()
 
 
-#: A roster of up to this many samples is one broadcast row (some 20 bytes each).
+#: A roster is dealt into arrays of up to this many samples (some 20 bytes each).
 ROSTER_LIMIT = 200_000
 
 
 def each_sample(rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every row once per sample of a roster, for results that are dense by definition. The roster
-    travels as one row with an array; its size is checked."""
-    n = samples.count()
-    if n > ROSTER_LIMIT:
-        raise ValueError(f"{n} samples; a dense result is made for at most {ROSTER_LIMIT}")
-    one = samples.agg(F.sort_array(F.collect_set("sample_id")).alias("sample_ids")).withColumn("one__", F.lit(1))
-    return rows.withColumn("one__", F.lit(1)).join(F.broadcast(one), "one__").drop("one__").select(
-        *rows.columns, F.explode("sample_ids").alias("sample_id")
-    )
+    """Every row once per sample of a roster, for results that are dense by definition. The roster travels as
+    arrays of at most about ``ROSTER_LIMIT`` samples, to which the rows are joined by number; a single array is
+    broadcast."""
+    parts = -(-samples.count() // ROSTER_LIMIT) or 1
+    arrays = samples.groupBy(F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("int").alias("part__")).agg(F.sort_array(F.collect_set("sample_id")).alias("sample_ids"))
+    numbered = rows.withColumn("part__", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return numbered.join(F.broadcast(arrays) if parts == 1 else arrays, "part__").select(*rows.columns, F.explode("sample_ids").alias("sample_id"))
 
 
 def range_dense(index: DataFrame, view: DataFrame, sample_id: str, chrom: str, start: int, end: int) -> DataFrame:

@@ -22,7 +22,7 @@ DEFAULT_VIEW = TrackKey("5mC", "combined", "combined")
 
 
 def build_index(spark: SparkSession, reference: str, output: str, sex: bool = False) -> None:
-    fasta.build_index(spark, reference, sex).repartition("chrom").sortWithinPartitions("row_id").write.parquet(output)
+    fasta.build_index(spark, reference, sex).repartitionByRange("row_id").sortWithinPartitions("row_id").write.parquet(output)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
@@ -262,8 +262,7 @@ def segments_pca(spark, files: dict[str, str], outdir: str, regions: DataFrame |
     z = cells.join(ok.select("region_id"), "region_id").withColumnRenamed("region_id", "row_id").withColumn("v", F.col("value").cast("double"))
     m = z.groupBy("sample_id").agg(F.avg("v").alias("m"), F.coalesce(F.nullif(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("d"))
     names = list(files)
-    g = embed.gram_matrix(z.join(m, "sample_id").select("row_id", "sample_id", ((F.col("v") - F.col("m")) / F.col("d")).alias("z")), names)
-    x, _ = embed.pca_from_gram(g, min(n_pcs, len(names)))
+    x, _ = embed.pca(z.join(m, "sample_id").select("row_id", "sample_id", ((F.col("v") - F.col("m")) / F.col("d")).alias("z")), names, min(n_pcs, len(names)))
     os.makedirs(outdir, exist_ok=True)
     out = spark.createDataFrame([(n, *map(float, x[i])) for i, n in enumerate(names)], "sample_id string, " + ", ".join(f"pc{k + 1} double" for k in range(x.shape[1])))
     _tsv(out, os.path.join(outdir, "embedding.tsv"))

@@ -93,10 +93,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(spark: SparkSession, path: str, sex: bool = False, chunk: int = CHUNK) -> DataFrame:
     """``row_id, chrom, chrom_ord, pos0`` of the CG sites of chr1..22 (and X, Y with ``sex``), in the
     order of the FASTA records. Contigs are scanned in chunks by as many tasks."""
-    keep = {f"chr{i}" for i in [*range(1, 23), *(["X", "Y"] if sex else [])]}
+    wanted = {f"chr{i}" for i in [*range(1, 23), *(["X", "Y"] if sex else [])]}
     rows, order = [], 0
     for name, _, a, b in contigs(os.path.abspath(path)):
-        if name not in keep:
+        if name not in wanted:
             continue
         for part, at in enumerate(range(a, max(b, a + 1), chunk)):
             rows.append((os.path.abspath(path), name, order, part, at, min(at + chunk, b), b))

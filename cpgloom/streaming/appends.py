@@ -16,7 +16,7 @@ def stream_observations(spark: SparkSession, folder: str, schema: str, output: s
     run again replaces its own folder, so a failure leaves no half batch behind."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        x = batch.where(F.col("value").between(0, 10000)).repartition(*PARTS).sortWithinPartitions(*PARTS, "row_id")
+        x = batch.where(F.col("value").between(0, 10000)).repartitionByRange(*PARTS, "row_id").sortWithinPartitions(*PARTS, "row_id")
         x.write.mode("overwrite").partitionBy(*PARTS).parquet(f"{output}/batch={epoch}")
 
     w = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
