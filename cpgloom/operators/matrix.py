@@ -105,11 +105,17 @@ def metadata_group_summary(counts: DataFrame, meta: DataFrame, fields: list[str]
     return g.join(F.broadcast(kinds.select("field")), "field")  # at most one row per field
 
 
+#: A map of rows to groups of up to this many rows (16 bytes each, some 100 in a hash table) is broadcast.
+BROADCAST_MEMBERS = 1_000_000
+
+
 def group_mean(obs: DataFrame, members: DataFrame, min_observed: int = 1) -> DataFrame:
     """Mean per group and sample over the observed member rows; ``members`` maps row_id to group_row,
-    and a row belongs to one group at most."""
+    and a row belongs to one group at most. A small map (counted) is broadcast, so that cells are added up
+    where they lie before they are shuffled."""
+    of = members.select("row_id", "group_row")
     return (
-        obs.join(members.select("row_id", "group_row"), "row_id")
+        obs.join(F.broadcast(of) if of.count() <= BROADCAST_MEMBERS else of, "row_id")
         .groupBy(*VIEW, "group_row", "sample_id")
         .agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n_observed"))
         .where(F.col("n_observed") >= min_observed)
