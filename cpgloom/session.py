@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -74,6 +75,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Fixed: how a plan shows a shuffle, which a broadcast or a column's name does not.
+_SHUFFLE = re.compile(r"(?<!\w)Exchange (?:hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
 #: Tasks per core that work in Python should have at least.
 TASKS_PER_CORE = 4
 
@@ -82,7 +85,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Give work that is heavy per byte at least a few tasks per core. A table that is scanned by as many
     tasks anyway (any large one) is left where it lies; only a compact one, whose few splits would
     keep most cores idle, is dealt out round robin, so no key can pile up."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if _SHUFFLE.search(df._jdf.queryExecution().executedPlan().toString()):
         return df  # shuffled already; counting its tasks would run that shuffle
     want = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
