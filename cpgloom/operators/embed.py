@@ -1,7 +1,7 @@
 """PCA by the Gram matrix or by block Lanczos passes, and Mahalanobis outliers.
 
 The distributed part is the sum of products of each row's standardised cells: samples by samples for a
-small roster, samples by a narrow block in each pass for any other. Everything after it is linear
+small roster, the smaller side (samples or rows) by a narrow block in each pass for any other. Everything after it is linear
 algebra of that size on the driver.
 """
 
@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Up to this many samples the Gram matrix is made at once; beyond it, passes over the cells are cheaper.
 GRAM_SAMPLES = 512
 #: Vectors (samples long) that the driver holds between restarts, and passes after which it gives up.
 MAX_BASIS, MAX_PASSES = 240, 400
+#: Cells of a packed block, at least; bytes of partial sums that a pass may send to the driver without adding them first.
+BLOCK, SENT = 1 << 18, 64 << 20
 
 
 def gram_matrix(cells: DataFrame, samples: list[str]) -> np.ndarray:
@@ -91,29 +95,107 @@ def _coordinates(values: np.ndarray, vectors: np.ndarray, total: float) -> tuple
     return vectors * np.where(flip == 0, 1, flip) * np.sqrt(values), values / total if total else np.zeros(n)
 
 
-def _times_gram(rows: DataFrame, v: np.ndarray) -> np.ndarray:
-    """``Z'Z v`` by one pass over sparse rows ``i, z``; each task sends one block of the size of ``v``."""
+def _blocks(cells: DataFrame, by: str, at: str, width: int, rows: np.ndarray) -> DataFrame:
+    """The cells ``i, row_id, z`` packed in blocks of whole groups of equal ``by``, in which ``at`` numbers a vector's
+    entries; a row's number is its place in ``rows`` where one of the two is ``row_id`` and it is not empty. A task
+    holds one block, of about ``BLOCK`` cells or one group."""
+    spark = cells.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = spark.sparkContext.broadcast(rows)
+    least = max(BLOCK, width)
+
+    def block(g: np.ndarray, i: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
+        i = np.searchsorted(sent.value, i) if at == "row_id" else i
+        x = (g[start], start, i.astype(np.int32), z)
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in x], ["g", "start", "i", "z"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, want = [], 0, least
+        for b in batches:
+            parts.append([b.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+            n += b.num_rows
+            if n < want:
+                continue
+            g, i, z = (np.concatenate(c) for c in zip(*parts))
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if cut:
+                yield block(g[:cut], i[:cut], z[:cut])
+            parts, n = [[g[cut:], i[cut:], z[cut:]]], len(g) - cut
+            want = max(least, 2 * n)
+        if n:
+            yield block(*(np.concatenate(c) for c in zip(*parts)))
+
+    cells = cells.select(F.col(by).cast("long"), F.col(at).cast("long"), "z").repartition(tasks, by).sortWithinPartitions(by)
+    return cells.mapInArrow(packed, "g binary, start binary, i binary, z binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for b in batches:
+        for g, start, i, z in zip(*(b.column(c) for c in range(4))):
+            yield (np.frombuffer(g.as_buffer(), np.int64), np.frombuffer(start.as_buffer(), np.int64), np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(z.as_buffer()))
+
+
+def _times_gram(blocks: DataFrame, v: np.ndarray) -> np.ndarray:
+    """``A'A v`` for the matrix A whose rows are the groups of ``blocks``, by one pass over them. Each core sends one
+    vector block of the size of ``v`` at a time, all in one job; where those would be more than ``SENT`` bytes for
+    the driver, they are added up by ranges of entries first, and it gets one."""
     k, b = v.shape
-    sent = rows.sparkSession.sparkContext.broadcast(v)
+    spark = blocks.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    sent = spark.sparkContext.broadcast(np.ascontiguousarray(v.T))
+    parts = 1 if tasks * v.nbytes <= SENT else min(k, max(tasks, -(-v.nbytes // SENT)))
+    edges = [k * p // parts for p in range(parts + 1)]
+
+    def batch(p: int, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([y.tobytes()], pa.binary())], ["p", "y"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, y = sent.value, np.zeros((k, b))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            i, z = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
-            size = batch.column(0).value_lengths().to_numpy()
-            t = np.add.reduceat(v[i] * z[:, None], np.cumsum(size) - size)
-            t = np.repeat(t, size, axis=0) * z[:, None]
+        v, y = sent.value, np.zeros((b, k))
+        for _, start, i, z in _unpacked(batches):
+            size = np.diff(start, append=len(i))
             for c in range(b):
-                y[:, c] += np.bincount(i, t[:, c], k)
-        yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary())], ["y"])
+                t = np.add.reduceat(v[c][i] * z, start)
+                y[c] += np.bincount(i, np.repeat(t, size) * z, k)
+        for p in range(parts):
+            yield batch(p, y[:, edges[p] : edges[p + 1]])
 
-    y = np.zeros((k, b))
-    for r in rows.mapInArrow(partial, "y binary").toLocalIterator():  # one block at a time
-        y += np.frombuffer(bytes(r["y"])).reshape(k, b)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for x in batches:
+            for p, y in zip(x.column(0).to_pylist(), x.column(1)):
+                y = np.frombuffer(y.as_buffer())
+                sums[p] = sums[p] + y if p in sums else y
+        for p, y in sums.items():
+            yield batch(p, y)
+
+    out = blocks.coalesce(tasks).mapInArrow(partial, "p int, y binary")
+    if parts > 1:
+        out = out.repartition(parts, "p").mapInArrow(add, "p int, y binary")
+    y = np.zeros((b, k))
+    for r in out.collect():
+        lo, hi = edges[r["p"]], edges[r["p"] + 1]
+        y[:, lo:hi] += np.frombuffer(r["y"]).reshape(b, hi - lo)
     sent.destroy()
-    return y
+    return np.ascontiguousarray(y.T)
+
+
+def _times(blocks: DataFrame, v: np.ndarray, size: int) -> np.ndarray:
+    """``A v`` by the groups' numbers, ``size`` of them; 0 for a number without a cell."""
+    k, b = v.shape
+    sent = blocks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v.T))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, start, i, z in _unpacked(batches):
+            y = np.stack([np.add.reduceat(x[i] * z, start) for x in sent.value])
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["g", "y"])
+
+    out = np.zeros((size, b))
+    for r in blocks.mapInArrow(product, "g binary, y binary").collect():
+        g = np.frombuffer(r["g"], np.int64)
+        out[g] = np.frombuffer(r["y"]).reshape(b, len(g)).T
+    sent.destroy()
+    return out
 
 
 def top_eigenpairs(times, k: int, n: int, tol: float = 1e-8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +232,11 @@ def top_eigenpairs(times, k: int, n: int, tol: float = 1e-8, seed: int = 1) -> t
 
 def pca(cells: DataFrame, samples: list[str], n_components: int) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates of every sample and explained-variance ratios from ``row_id, sample_id, z`` with
-    missing cells 0. A small roster goes through its Gram matrix; any other is read once into sparse rows
-    and gets its leading components by passes over them, so neither the driver nor a task ever holds more
-    than the roster times ``MAX_BASIS``. Without a single cell nothing is defined, and all is NaN."""
+    missing cells 0. A small roster goes through its Gram matrix; any other is read once into sparse blocks
+    and gets its leading components by passes over them. The vectors of the passes number the rows where
+    those are fewer than the samples, else the samples: ``ZZ'`` and ``Z'Z`` have the same eigenvalues, and ``Z'`` takes
+    vectors of the one to those of the other. So neither the driver nor a task ever holds more than the
+    smaller side times ``MAX_BASIS``. Without a single cell nothing is defined, and all is NaN."""
     k = len(samples)
     if k <= GRAM_SAMPLES:
         gram = gram_matrix(cells, samples)
@@ -161,16 +245,23 @@ def pca(cells: DataFrame, samples: list[str], n_components: int) -> tuple[np.nda
         return pca_from_gram(gram, n_components)
     spark = cells.sparkSession
     order = spark.createDataFrame(pd.DataFrame({"sample_id": samples, "i": np.arange(k, dtype=np.int32)}), "sample_id string, i int")
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = cells.join(order, "sample_id").repartition(tasks, "row_id").groupBy("row_id").agg(F.collect_list(F.struct("i", "z")).alias("c"))
-    rows = rows.select(F.col("c.i").alias("i"), F.col("c.z").alias("z")).persist()
+    numbered = cells.join(order, "sample_id").select("i", F.col("row_id").cast("long").alias("row_id"), "z").persist()
     try:
-        total = rows.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+        total = numbered.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
         if not total:
             return np.full((k, n_components), np.nan), np.full(n_components, np.nan)
-        values, vectors = top_eigenpairs(lambda v: _times_gram(rows, v), k, n_components)
+        rows = np.sort(numbered.select("row_id").distinct().limit(k).toPandas()["row_id"].to_numpy())
+        by_sample = GRAM_SAMPLES < len(rows) < k
+        by, at, width = ("i", "row_id", len(rows)) if by_sample else ("row_id", "i", k)
+        blocks = _blocks(numbered, by, at, width, rows if by_sample else rows[:0])
+        blocks = cut_lineage(blocks)  # a cached plan would be planned and kept anew by every pass
     finally:
-        rows.unpersist()
+        numbered.unpersist()
+    values, vectors = top_eigenpairs(lambda v: _times_gram(blocks, v), width, n_components)
+    if by_sample:
+        x = _times(blocks, vectors, k)
+        size = np.linalg.norm(x, axis=0)
+        vectors = x / np.where(size > 0, size, 1)
     return _coordinates(values, vectors, total)
 
 

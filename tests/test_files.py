@@ -346,6 +346,23 @@ def test_pca_by_passes_matches_svd(spark, monkeypatch):
     assert x.shape == (80, 4) and np.isnan(x).all() and np.isnan(ratio).all()
 
 
+def test_pca_pass_is_one_job(spark, monkeypatch):
+    monkeypatch.setattr(embed, "GRAM_SAMPLES", 10)
+    passes, times = [], embed._times_gram
+    monkeypatch.setattr(embed, "_times_gram", lambda rows, v: (passes.append(1), times(rows, v))[1])
+    r = np.random.default_rng(3)
+    names = [f"s{i:02d}" for i in range(80)]
+    cells = spark.createDataFrame([(i, names[k], float(r.normal())) for i in range(90) for k in range(80)], "row_id long, sample_id string, z double")
+    spark.sparkContext.setJobGroup("passes", "passes over the cells")
+    try:
+        embed.pca(cells, names, 3)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes"))
+    finally:
+        for x in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(x, None)
+    assert len(passes) > 5 and jobs < 2 * len(passes) + 10  # four tasks made four jobs each
+
+
 def test_embedding_queries_hold_the_whole_roster(spark):
     sf = "/root/testdata/sf0.001"
     roster = {r[0] for r in spark.read.parquet(f"{sf}/sample_track.parquet").where("assay = '5mC' AND haplotype = 'combined' AND strand = 'combined' AND sample_id IS NOT NULL").select("sample_id").distinct().collect()}
