@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,7 +243,7 @@ def pca(cells: DataFrame, samples: list[str], n_components: int) -> tuple[np.nda
             return np.full((k, min(n_components, k)), np.nan), np.full(min(n_components, k), np.nan)
         return pca_from_gram(gram, n_components)
     spark = cells.sparkSession
-    order = spark.createDataFrame(pd.DataFrame({"sample_id": samples, "i": np.arange(k, dtype=np.int32)}), "sample_id string, i int")
+    order = spark.createDataFrame(pa.table({"sample_id": pa.array(samples, pa.string()), "i": np.arange(k, dtype=np.int32)}), "sample_id string, i int")
     numbered = cells.join(order, "sample_id").select("i", F.col("row_id").cast("long").alias("row_id"), "z").persist()
     try:
         total = numbered.agg(F.sum(F.col("z") * F.col("z"))).first()[0]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import embed, export, grouping, matrix, metadata, ranges, segments, strand
-from ..session import cut_lineage
+from ..session import cut_lineage, keep
 from ..sources import beds, fasta
 from . import adapters as A
 from .adapters import META, OBS, SEG
@@ -632,23 +632,25 @@ def gram_matrix(s, d):
 def _embedded(s, d, min_present):
     """PCA of the whole roster of the 5mC view; the names and coordinates of one view reach the driver."""
     names = _roster(s, d).orderBy("sample_id").toPandas()["sample_id"].tolist()
-    v = _view(s, d)
+    v = keep(_view(s, d))
     rows = matrix.presence_rows(v, len(names), min_present)
     return names, *embed.pca(embed.standardised(v, rows, matrix.moments(v, rows)), names, 5)
 
 
-def _number(x: float) -> float | None:
-    return float(x) if np.isfinite(x) else None
+def _numbers(x: np.ndarray) -> pa.Array:
+    return pa.array(x, pa.float64(), mask=~np.isfinite(x))
 
 
 def _coordinate_rows(s, names, x, ratio):
-    rows = [(n, k + 1, _number(x[i, k]), _number(ratio[k])) for i, n in enumerate(names) for k in range(x.shape[1])]
-    return s.createDataFrame(pd.DataFrame(rows, columns=["sample_id", "component", "coordinate", "explained"]).astype({"component": "int32"}), "sample_id string, component int, coordinate double, explained double")
+    k, n = x.shape
+    rows = {"sample_id": pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(k), n))), "component": pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), k)), "coordinate": _numbers(x.ravel()), "explained": _numbers(np.tile(ratio, k))}
+    return s.createDataFrame(pa.table(rows), "sample_id string, component int, coordinate double, explained double")
 
 
 def _outlier_rows(s, names, x):
     dist, out = embed.mahalanobis(x[:, :3], 0.999)
-    return s.createDataFrame([(n, _number(v), bool(o)) for n, v, o in zip(names, dist, out)], "sample_id string, distance double, is_outlier boolean")
+    rows = {"sample_id": pa.array(names, pa.string()), "distance": _numbers(dist), "is_outlier": pa.array(out, pa.bool_())}
+    return s.createDataFrame(pa.table(rows), "sample_id string, distance double, is_outlier boolean")
 
 
 @query()

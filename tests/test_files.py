@@ -363,6 +363,24 @@ def test_pca_pass_is_one_job(spark, monkeypatch):
     assert len(passes) > 5 and jobs < 2 * len(passes) + 10  # four tasks made four jobs each
 
 
+@pytest.mark.parametrize("n_rows", [50, 300])
+def test_pca_passes_take_the_smaller_side(spark, monkeypatch, n_rows):
+    for name, v in (("GRAM_SAMPLES", 10), ("MAX_BASIS", 30), ("BLOCK", 64), ("SENT", 2000)):  # restarts, many blocks, sums by ranges
+        monkeypatch.setattr(embed, name, v, raising=False)
+    sizes, find = [], embed.top_eigenpairs
+    monkeypatch.setattr(embed, "top_eigenpairs", lambda times, k, n: (sizes.append(k), find(times, k, n))[1])
+    r = np.random.default_rng(5)
+    z = r.normal(size=(n_rows, 80)) * (r.random((n_rows, 80)) < 0.2)
+    z[:, 7] = 0  # a sample without a cell
+    names = [f"s{i:02d}" for i in range(80)]
+    cells = [(int(i) * 1000 - 7, names[k], float(z[i, k])) for i, k in zip(*np.nonzero(z))]
+    x, ratio = embed.pca(spark.createDataFrame(cells, "row_id long, sample_id string, z double"), names, 4)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    assert sizes == [min(n_rows, 80)] and np.abs(x[7]).max() < 1e-6
+    assert np.allclose(np.abs(x), np.abs(vt.T[:, :4] * s[:4]), atol=1e-6) and np.allclose(ratio, (s**2 / (s**2).sum())[:4])
+    assert (x[np.abs(x).argmax(axis=0), range(4)] > 0).all()
+
+
 def test_embedding_queries_hold_the_whole_roster(spark):
     sf = "/root/testdata/sf0.001"
     roster = {r[0] for r in spark.read.parquet(f"{sf}/sample_track.parquet").where("assay = '5mC' AND haplotype = 'combined' AND strand = 'combined' AND sample_id IS NOT NULL").select("sample_id").distinct().collect()}
